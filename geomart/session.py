@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Only meaningful when this process starts the JVM (local runs, tests, bench).
+LOCAL_CONF = {"spark.driver.memory": "16g"}
+
 
 def build_session(
     master: str | None = None,
@@ -34,6 +37,8 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
