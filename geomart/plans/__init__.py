@@ -3,3 +3,4 @@
 from geomart.plans import series_marts  # noqa: F401
 from geomart.plans.registry import ORACLE, QUERIES  # noqa: F401
 from geomart.plans import spatial_marts  # noqa: F401,E402
+from geomart.plans import table_marts  # noqa: F401,E402
