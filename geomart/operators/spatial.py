@@ -26,10 +26,12 @@ def in_plausible_box(
 
 def centroid_cells(df: DataFrame, ring_col: str, keys: list[str]) -> DataFrame:
     """One centroid cell per polygon, de-duplicated over ``keys``."""
+    # Filter on the centroid, not on the derived cell: a filter above the cell
+    # expression would be pushed below it and inline the whole derivation.
     return (
         polygon_centroids(df, ring_col)
+        .filter(F.col("centroid_lon").isNotNull() & F.col("centroid_lat").isNotNull())
         .select(*keys, cells.hex_cell("centroid_lon", "centroid_lat").alias("cell"))
-        .filter(F.col("cell").isNotNull())
         .distinct()
     )
 

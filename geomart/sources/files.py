@@ -53,5 +53,5 @@ def with_provenance(
     elif source_pattern is not None:
         out = out.withColumn("_source", path_part(path, source_pattern))
     if run_date_pattern is not None:
-        out = out.withColumn("_run_date", F.try_to_date(path_part(path, run_date_pattern), F.lit("yyyy-MM-dd")))
+        out = out.withColumn("_run_date", F.try_to_date(path_part(path, run_date_pattern), "yyyy-MM-dd"))
     return out.withColumn("_ingested_at", F.current_timestamp())
