@@ -375,3 +375,169 @@ def json_coalesce(spark, sf):
         geojson.json_field("properties", "$.OBJECTID", "$.objectid", "$.id").alias("object_id"),
         geojson.json_field("properties", "$.Hazard", "$.Label", "$.Title").alias("hazard_label"),
     )
+
+
+# ---- archives and sheets ------------------------------------------------------------------
+
+
+def _write_feed_zips(base: str):
+    """Task-side writer: one zip per (nation, input partition) with agency,
+    stops (UTF-8 BOM), feed_info and a header-only transfers file."""
+
+    def write(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        fs, root = pafs.FileSystem.from_uri(base)
+        fs.create_dir(root, recursive=True)
+        frames = list(batches)
+        if not frames:
+            return
+        df = pd.concat(frames)
+        out = []
+        for nk, g in df.groupby("c_nationkey"):
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+                zf.writestr("agency.txt", "﻿agency_id,agency_name\n" + f"{nk},{g['n_name'].iloc[0]}\n")
+                stops = "".join(f"{k},{n},{la},{lo}\n" for k, n, la, lo in zip(g.c_custkey, g.c_name, g.lat, g.lon))
+                zf.writestr("stops.txt", "﻿stop_id,stop_name,stop_lat,stop_lon\n" + stops)
+                zf.writestr("feed_info.txt", f"feed_publisher_name,feed_version\ngeomart,v{nk}\n")
+                zf.writestr("transfers.txt", "from_stop_id,to_stop_id,transfer_type\n")
+            name = f"{root}/feed-{nk}-p{part}.zip"
+            with fs.open_output_stream(name) as f:
+                f.write(buf.getvalue())
+            out.append(name)
+        yield pd.DataFrame({"path": out})
+
+    return write
+
+
+@register(
+    "unpack_archive",
+    """SELECT 'v' || CAST(c_nationkey AS VARCHAR) AS feed_version, CAST(c_custkey AS VARCHAR) AS stop_id, c_name AS stop_name,
+       CAST(-4700 + (c_custkey * 53) % 1300 AS DOUBLE) / 100 AS stop_lat,
+       CAST(16600 + (c_custkey * 37) % 1300 AS DOUBLE) / 100 AS stop_lon
+FROM customer""",
+)
+def unpack_archive(spark, sf):
+    """Zip feeds -> per-entity rows with BOM stripped, feed version read and
+    header-only files dropped; stops parsed (S19)."""
+    base = scratch_path(spark, "feeds")
+    c = read_table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey")
+    n = read_table(spark, sf, "nation", "n_nationkey", "n_name")
+    k = F.col("c_custkey")
+    src = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        "c_custkey", "c_name", "c_nationkey", "n_name",
+        (V.lat_h(k).cast("double") / 100).alias("lat"), (V.lon_h(k).cast("double") / 100).alias("lon"),
+    )
+    src.mapInPandas(_write_feed_zips(base), "path string").count()
+    from geomart.sources import archives
+
+    lines = archives.read_archive_lines(spark, base)
+    schema = T.StructType(
+        [
+            T.StructField("stop_id", T.StringType()),
+            T.StructField("stop_name", T.StringType()),
+            T.StructField("stop_lat", T.DoubleType()),
+            T.StructField("stop_lon", T.DoubleType()),
+        ]
+    )
+    return archives.entity_rows(lines, "stops", schema).select("feed_version", "stop_id", "stop_name", "stop_lat", "stop_lon")
+
+
+_SHEET_TITLES = {
+    "Date": None,
+    "1-URGENT": "urgent",
+    "2-HIGH": "high",
+    "3-MEDIUM": "medium",
+    "4-NOT SPECIFIED": "not_specified",
+    "5-LOW": "low",
+}
+
+
+def _write_sheets(spark, sf, base):
+    """One headerless sheet per TA: titles, four junk rows, then end-of-quarter
+    rows (plus an unparsable-date row and an all-empty row)."""
+    from geomart.plans.table_marts import series_pivot
+
+    sp = series_pivot(spark, sf)
+    names = [v for v in _SHEET_TITLES.values() if v]
+    eoq = F.date_format(F.last_day(F.add_months("quarter", 2)), "yyyy-MM-dd")
+    data = sp.select(
+        "ta_name", (F.lit(10) + F.datediff("quarter", F.lit("1990-01-01").cast("date"))).alias("row_no"),
+        eoq.alias("c0"), *[F.col(v).cast("string").alias(f"c{i + 1}") for i, v in enumerate(names)],
+    )
+    tas = sp.select("ta_name").distinct()
+    lit_rows = [
+        (0, list(_SHEET_TITLES.keys())),
+        (1, ["Quarterly totals by priority"] + [""] * 5),
+        (2, ["Source: orders"] + [""] * 5),
+        (3, ["units"] + ["NZD"] * 5),
+        (4, ["series id"] + [f"S{i}" for i in range(5)]),
+        (6, ["n/a", "1", "2", "3", "4", "5"]),
+        (7, ["2001-12-31", "", "", "", "", ""]),
+    ]
+    extra = None
+    for row_no, vals in lit_rows:
+        r = tas.select("ta_name", F.lit(row_no).alias("row_no"), *[F.lit(v).alias(f"c{i}") for i, v in enumerate(vals)])
+        extra = r if extra is None else extra.unionByName(r)
+    sheet = data.unionByName(extra)
+    (
+        sheet.repartition("ta_name").sortWithinPartitions("ta_name", "row_no").drop("row_no")
+        .write.partitionBy("ta_name").option("header", "false").csv(base)
+    )
+
+
+@register(
+    "positional_sheet_parse",
+    V.with_ctes(V.SER_SQL)
+    + """SELECT ta_name, quarter, """
+    + ", ".join(
+        f"min(CASE WHEN priority = '{t}' THEN total_price END) AS {v}" for t, v in _SHEET_TITLES.items() if v
+    )
+    + " FROM ser GROUP BY ta_name, quarter",
+)
+def positional_sheet_parse(spark, sf):
+    """Headerless sheets: titles row 0, data from row 5, known titles mapped,
+    bad dates skipped, empty rows dropped, end of quarter -> first day (S20)."""
+    from geomart.sources import sheets
+
+    base = scratch_path(spark, "sheets")
+    _write_sheets(spark, sf, base)
+    titles = {t: v for t, v in _SHEET_TITLES.items() if v}
+    out = sheets.read_positional(spark, base, titles, data_from_row=5)
+    ta = F.regexp_extract("sheet_file", r"ta_name=([^/]+)/", 1)
+    return out.select(ta.alias("ta_name"), "quarter", *titles.values())
+
+
+@register(
+    "tidy_sheet_validate",
+    V.with_ctes(V.SER_SQL)
+    + """SELECT ta_name AS area_name, CAST(last_day(quarter + INTERVAL 2 MONTH) AS DATE) AS date, priority AS series,
+       CAST(total_price AS VARCHAR) AS value
+FROM ser""",
+)
+def tidy_sheet_validate(spark, sf):
+    """Tidy sheet: padded headers trimmed, required columns checked, row floor,
+    NULL / unparsable dates dropped (S21)."""
+    from geomart.plans.views import ser as ser_view
+    from geomart.sources import sheets
+
+    base = scratch_path(spark, "tidy")
+    s = ser_view(spark, sf)
+    good = s.select(
+        F.col("ta_name").alias(" area_name "), F.date_format(F.last_day(F.add_months("quarter", 2)), "yyyy-MM-dd").alias("  date"),
+        F.col("priority").alias("series "), F.col("total_price").cast("string").alias(" value"),
+    )
+    junk = s.filter(F.col("priority") == "5-LOW").select(
+        F.col("ta_name").alias(" area_name "), F.when(F.col("n_orders") % 2 == 0, "n/a").alias("  date"),
+        F.lit("junk").alias("series "), F.lit("0").alias(" value"),
+    )
+    good.unionByName(junk).write.option("header", "true").csv(base)
+    out = sheets.read_tidy(spark, base, ["area_name", "date", "series", "value"], min_rows=10)
+    return out.select("area_name", "date", "series", F.col("value"))
