@@ -31,8 +31,12 @@ def travel_time_matrix(
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(weight).alias("_w")).filter(
-        F.col("_w") <= cap_minutes
+    # The edge set is joined every round: materialise it once (reliable
+    # checkpoint) instead of re-deriving it from its sources per round.
+    e = (
+        edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(weight).alias("_w"))
+        .filter(F.col("_w") <= cap_minutes)
+        .checkpoint()
     )
     nodes = e.select(F.col("_src").alias("node")).union(e.select(F.col("_dst").alias("node"))).distinct()
     labels = nodes.select(F.col("node").alias("origin"), "node", F.lit(0).cast("bigint").alias("minutes"))

@@ -51,6 +51,7 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     bands = df.select(
         F.col(id_col),
         F.col(ring_col),
+        b.alias("_bb"),
         x0.alias("_x0"),
         x1.alias("_x1"),
         F.explode(
@@ -63,6 +64,7 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     cand = bands.select(
         id_col,
         ring_col,
+        "_bb",
         "_r",
         F.explode(
             F.sequence(
@@ -73,8 +75,14 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     )
     cx, cy = cells.centre_xy(F.col("_q"), F.col("_r"))
     lon, lat = cells.unproject(cx, cy)
-    return cand.filter(rings.contains_point(F.col(ring_col), lon, lat)).select(
-        F.col(id_col), cells.pack(F.col("_q"), F.col("_r")).alias("cell")
+    bb = F.col("_bb")
+    centres = cand.select(id_col, ring_col, "_q", "_r", "_bb", lon.alias("_lon"), lat.alias("_lat"))
+    # Cheap bounding-box test first (codegen), ray casting only for survivors.
+    in_box = F.col("_lon").between(bb.xmin, bb.xmax) & F.col("_lat").between(bb.ymin, bb.ymax)
+    return (
+        centres.filter(in_box)
+        .filter(rings.contains_point(F.col(ring_col), F.col("_lon"), F.col("_lat")))
+        .select(F.col(id_col), cells.pack(F.col("_q"), F.col("_r")).alias("cell"))
     )
 
 
