@@ -26,13 +26,13 @@ def _pick(
     agg = F.max_by if latest else F.min_by
     if not null_keys_distinct:
         return df.groupBy(*keys).agg(agg(payload, rank).alias("_row")).select("_row.*")
+    # Rows with a NULL key each get their own group through a row id (one
+    # scan, one shuffle); rows with full keys share ``_nk = NULL``.
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    picked = (
-        df.filter(~any_null).groupBy(*keys).agg(agg(payload, rank).alias("_row")).select("_row.*")
-    )
-    return picked.unionByName(df.filter(any_null))
+    tagged = df.withColumn("_nk", F.when(any_null, F.monotonically_increasing_id()))
+    return tagged.groupBy(*keys, "_nk").agg(agg(payload, rank).alias("_row")).select("_row.*")
 
 
 def latest_per_key(
