@@ -48,9 +48,13 @@ def _stream_landing(spark, sf, fmt):
     root, sink, ckpt = f"{base}/landing/events", f"{base}/bronze/events", f"{base}/_checkpoints/events"
     _land_events(spark, sf, fmt, root)
     opts = {"header": "true"} if fmt == "csv" else {}
-    stream.bronze_append(spark, fmt, root, EVENT_SCHEMA, sink, ckpt, source_tag="events", options=opts)
+    landing.check_landing_floor(spark, root, min_bytes=1_000)
+    jobs = stream.bronze_tables(
+        spark, f"{base}/landing", f"{base}/bronze", f"{base}/_checkpoints", {"events": EVENT_SCHEMA}, fmt, opts
+    )
+    jobs["events"]()
     # A second run over the same landing must add nothing (exactly once per file).
-    stream.bronze_append(spark, fmt, root, EVENT_SCHEMA, sink, ckpt, source_tag="events", options=opts)
+    jobs["events"]()
     return spark.read.parquet(sink).select(*_EVENT_COLS, "_source", "_run_date"), base
 
 

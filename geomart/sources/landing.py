@@ -140,3 +140,27 @@ def retention_candidates(landings: DataFrame, name_col: str, days: int, as_of: C
     return landings.withColumn("landing_date", d).filter(
         F.col("landing_date").isNotNull() & (F.col("landing_date") < F.date_sub(as_of, days))
     )
+
+
+class LandingTooSmall(ValueError):
+    pass
+
+
+def check_landing_floor(
+    spark: SparkSession, path: str, min_bytes: int = 50_000, min_rows: int | None = None, fmt: str = "csv"
+) -> tuple[int, int | None]:
+    """Landing sanity floor (S22): total bytes of the files under ``path`` and,
+    optionally, their row count must reach the floors, else the run fails.
+    Both are single aggregates (file lengths from the file listing)."""
+    size = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first().b
+    )
+    if size < min_bytes:
+        raise LandingTooSmall(f"{path}: {size} bytes < {min_bytes}")
+    rows = None
+    if min_rows is not None:
+        rows = spark.read.format(fmt).option("header", "true").option("recursiveFileLookup", "true").load(path).count()
+        if rows < min_rows:
+            raise LandingTooSmall(f"{path}: {rows} rows < {min_rows}")
+    return size, rows

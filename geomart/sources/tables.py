@@ -14,3 +14,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def read_parquet_sql(spark: SparkSession, path: str) -> DataFrame:
     """Direct path scan in SQL, as ``SELECT * FROM parquet.`path```."""
     return spark.sql(f"SELECT * FROM parquet.`{path}`")
+
+
+def write_seed(spark: SparkSession, rows: list[dict], schema, path: str) -> DataFrame:
+    """Seed sink (S13): literal rows with a declared schema, fully replaced."""
+    df = spark.createDataFrame(rows, schema)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

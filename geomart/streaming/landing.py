@@ -83,3 +83,27 @@ def refine_stream(
     schema = spark.read.parquet(upstream_sink).schema
     s = spark.readStream.schema(schema).parquet(upstream_sink)
     return run_available_now(refine(s), sink, checkpoint)
+
+
+def bronze_tables(
+    spark: SparkSession,
+    landing_root: str,
+    bronze_root: str,
+    checkpoint_root: str,
+    entities: dict[str, StructType],
+    fmt: str = "csv",
+    options: dict[str, str] | None = None,
+) -> dict[str, Callable[[], int]]:
+    """One append job per file type (S5): ``{entity: run}`` where ``run()``
+    streams ``<landing_root>/<entity>/`` into ``<bronze_root>/<entity>``."""
+
+    def make(entity: str, schema: StructType) -> Callable[[], int]:
+        def run() -> int:
+            return bronze_append(
+                spark, fmt, f"{landing_root}/{entity}", schema, f"{bronze_root}/{entity}",
+                f"{checkpoint_root}/{entity}", source_tag=entity, options=options,
+            )
+
+        return run
+
+    return {e: make(e, s) for e, s in entities.items()}

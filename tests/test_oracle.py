@@ -46,6 +46,13 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
     want = sorted(tuple(_norm(dict(zip(dcols, r))[c]) for c in cols) for r in cur.fetchall())
     assert len(got) == len(want)
     assert got == want
+    # Plan guard: no cross products, no row-at-a-time Python; Python batches
+    # only where archives are unzipped.
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan, (name, bad)
+    if name != "unpack_archive":
+        assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan, name
 
 
 def test_entry_smoke(spark):

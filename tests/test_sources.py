@@ -63,3 +63,22 @@ def test_optional_enrichment_absent_is_typed_null(spark, sf_small):
     df = table_marts.optional_enrichment(spark, sf_small)
     assert dict(df.dtypes)["crime_total"] == "bigint"
     assert df.filter(F.col("crime_total").isNotNull()).count() == 0
+
+
+def test_seed_sink_and_floor(spark):
+    import pytest
+
+    from geomart.sources import landing, tables
+
+    path = scratch_path(spark, "seed")
+    schema = "suburb_id string, tags array<string>"
+    df = tables.write_seed(spark, [{"suburb_id": "1", "tags": ["a"]}, {"suburb_id": "2", "tags": []}], schema, path)
+    assert df.count() == 2
+    tables.write_seed(spark, [{"suburb_id": "3", "tags": None}], schema, path)
+    assert [r.suburb_id for r in spark.read.parquet(path).collect()] == ["3"]
+    land = scratch_path(spark, "floor")
+    spark.range(10).write.option("header", "true").csv(land)
+    with pytest.raises(landing.LandingTooSmall):
+        landing.check_landing_floor(spark, land, min_bytes=10_000_000)
+    _, rows = landing.check_landing_floor(spark, land, min_bytes=1, min_rows=10)
+    assert rows == 10
