@@ -36,12 +36,16 @@ def centroid_cells(df: DataFrame, ring_col: str, keys: list[str]) -> DataFrame:
     )
 
 
+_EPS = 1e-9
+
+
 def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     """Cells whose centre lies inside each polygon: ``(id, cell)``.
 
-    Candidates come from the ring's bounding box, exploded first into rows
-    of constant ``r`` (row bands) and then into ``q`` within each band, so a
-    large polygon is spread over many rows before the point-in-ring test.
+    Candidates are the cells whose centre lies in the ring's bounding box,
+    exploded first into rows of constant ``r`` (row bands) and then into
+    ``q`` within each band; only those reach the point-in-ring test. A band
+    with no cell centre inside the box yields an empty range.
     """
     b = rings.bbox(ring_col)
     x0, y0 = cells.project(b.xmin, b.ymin)
@@ -54,9 +58,11 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
         b.alias("_bb"),
         x0.alias("_x0"),
         x1.alias("_x1"),
+        # Rows whose centre line lies inside the projected box (the projection
+        # is monotonic in lon and lat, so the box maps to a box exactly).
         F.explode(
             F.sequence(
-                (F.floor(y0 / row_h) - 1).cast("bigint"), (F.ceil(y1 / row_h) + 1).cast("bigint")
+                F.ceil(y0 / row_h - _EPS).cast("bigint"), F.floor(y1 / row_h + _EPS).cast("bigint")
             )
         ).alias("_r"),
     )
@@ -68,8 +74,8 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
         "_r",
         F.explode(
             F.sequence(
-                (F.floor(F.col("_x0") / col_w - half_r) - 1).cast("bigint"),
-                (F.ceil(F.col("_x1") / col_w - half_r) + 1).cast("bigint"),
+                F.ceil(F.col("_x0") / col_w - half_r - _EPS).cast("bigint"),
+                F.floor(F.col("_x1") / col_w - half_r + _EPS).cast("bigint"),
             )
         ).alias("_q"),
     )

@@ -120,7 +120,7 @@ def hazard_mart(spark, sf):
 _HZ_SQL = f""",
 ev AS (SELECT event_type, value, props,
               CAST(16600 + (user_id * 37) % 1300 + 1 AS DOUBLE) / 100 AS lon,
-              CAST(-4700 + (user_id * 53) % 1300 + 1 AS DOUBLE) / 100 AS lat FROM events),
+              CAST(-4700 + (user_id * 53 + user_id // 1300) % 1300 + 1 AS DOUBLE) / 100 AS lat FROM events),
 evc AS (SELECT event_type, value, props, {cells.hex_cell_sql('lon', 'lat')} AS cell FROM ev),
 hz AS (SELECT cell, {", ".join(f"bool_or(event_type = '{t}') AS {f}" for f, t in _LAYER_OF_FLAG.items())},
               bool_or(value >= {_REGIONAL_MIN_VALUE}) AS in_regional_flood_zone,

@@ -335,7 +335,7 @@ _ADDRESS = geojson.feature_schema(
     "struct_flatten",
     """SELECT concat('addr.', CAST(c_custkey AS VARCHAR)) AS feature_id, 'Point' AS geom_type,
        CAST(16600 + (c_custkey * 37) % 1300 AS DOUBLE) / 100 AS lon,
-       CAST(-4700 + (c_custkey * 53) % 1300 AS DOUBLE) / 100 AS lat,
+       CAST(-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300 AS DOUBLE) / 100 AS lat,
        c_custkey AS address_id, c_name AS full_address,
        CASE WHEN c_custkey % 5 = 0 THEN 'Retired' ELSE 'Current' END AS address_lifecycle
 FROM customer""",
@@ -424,7 +424,7 @@ def _write_feed_zips(base: str):
 @register(
     "unpack_archive",
     """SELECT 'v' || CAST(c_nationkey AS VARCHAR) AS feed_version, CAST(c_custkey AS VARCHAR) AS stop_id, c_name AS stop_name,
-       CAST(-4700 + (c_custkey * 53) % 1300 AS DOUBLE) / 100 AS stop_lat,
+       CAST(-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300 AS DOUBLE) / 100 AS stop_lat,
        CAST(16600 + (c_custkey * 37) % 1300 AS DOUBLE) / 100 AS stop_lon
 FROM customer""",
 )

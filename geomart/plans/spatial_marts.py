@@ -51,11 +51,11 @@ def bridge(spark, sf):
 POLY_SQL = """poly AS (
   SELECT c_custkey AS area_id, c_mktsegment AS segment,
          CAST(16600 + (c_custkey * 37) % 1300 AS DOUBLE) / 100 AS x0,
-         CAST(-4700 + (c_custkey * 53) % 1300 AS DOUBLE) / 100 AS y0,
+         CAST(-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300 AS DOUBLE) / 100 AS y0,
          CAST(16600 + (c_custkey * 37) % 1300 + 2 AS DOUBLE) / 100 AS x1,
-         CAST(-4700 + (c_custkey * 53) % 1300 + 3 AS DOUBLE) / 100 AS y1,
+         CAST(-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300 + 3 AS DOUBLE) / 100 AS y1,
          CAST(16600 + (c_custkey * 37) % 1300 + 1 AS DOUBLE) / 100 AS xm,
-         CAST(-4700 + (c_custkey * 53) % 1300 + 2 AS DOUBLE) / 100 AS ye
+         CAST(-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300 + 2 AS DOUBLE) / 100 AS ye
   FROM customer)"""
 
 
@@ -256,7 +256,7 @@ def order_points(spark, sf):
     V.with_ctes(FILL_SQL)
     + f""",
 op AS (SELECT o_orderkey, CAST(16600 + (o_orderkey * 37) % 1300 AS DOUBLE) / 100 AS lon,
-              CAST(-4700 + (o_orderkey * 53) % 1300 AS DOUBLE) / 100 AS lat FROM orders),
+              CAST(-4700 + (o_orderkey * 53 + o_orderkey // 1300) % 1300 AS DOUBLE) / 100 AS lat FROM orders),
 oc AS (SELECT o_orderkey, {cells.hex_cell_sql('lon', 'lat')} AS cell FROM op)
 SELECT oc.o_orderkey, oc.cell, b.area_id FROM oc LEFT JOIN bridge b ON oc.cell = b.cell""",
 )

@@ -385,7 +385,7 @@ _FEAT_SQL = f"""feat AS (
          CASE WHEN p_size % 5 = 0 THEN 'park' END AS leisure,
          CASE WHEN p_partkey % 3 = 0 THEN concat('way/', CAST(p_partkey AS VARCHAR)) ELSE CAST(p_partkey AS VARCHAR) END AS fid,
          CAST(16600 + (p_partkey * 37) % 1300 AS DOUBLE) / 100 AS lon,
-         CAST(-4700 + (p_partkey * 53) % 1300 AS DOUBLE) / 100 AS lat
+         CAST(-4700 + (p_partkey * 53 + p_partkey // 1300) % 1300 AS DOUBLE) / 100 AS lat
   FROM part)"""
 
 

@@ -5,7 +5,7 @@ builder and as a SQL common-table-expression for the DuckDB oracle. All
 coordinates are integer hundredths divided by 100 so both engines produce
 the same doubles.
 
-- ``pt``    one point per customer (lon/lat inside the 166..179 E, 47..34 S box)
+- ``pt``    one point per customer on a 0.01 deg grid inside 166..179 E, 47..34 S
 - ``area``  one area per customer with population, weekly rent, income, TA, region
 - ``ser``   per (TA = nation, quarter, priority) order totals
 - ``taq``   per (TA, quarter) two series: ``rent_value`` (urgent/high) and
@@ -32,7 +32,8 @@ def lon_h(key: Column) -> Column:
 
 
 def lat_h(key: Column) -> Column:
-    return F.lit(-4700) + (key * 53) % 1300
+    # The slowly varying k // 1300 term keeps positions distinct beyond 1300 keys.
+    return F.lit(-4700) + (key * 53 + F.floor(key / 1300).cast("bigint")) % 1300
 
 
 def pt(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +49,7 @@ def pt(spark: SparkSession, sf: str) -> DataFrame:
 PT_SQL = """pt AS (
   SELECT c_custkey, c_nationkey,
          CAST(16600 + (c_custkey * 37) % 1300 AS DOUBLE) / 100 AS lon,
-         CAST(-4700 + (c_custkey * 53) % 1300 AS DOUBLE) / 100 AS lat
+         CAST(-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300 AS DOUBLE) / 100 AS lat
   FROM customer)"""
 
 
@@ -86,7 +87,7 @@ AREA_SQL = """area AS (
          CAST(300 + (c.c_custkey * 7) % 600 AS DOUBLE) AS weekly_rent,
          CAST(CASE WHEN c.c_acctbal >= 0 THEN 40000 + (c.c_custkey * 131) % 90000 END AS DOUBLE) AS income,
          CAST(16600 + (c.c_custkey * 37) % 1300 AS DOUBLE) / 100 AS lon,
-         CAST(-4700 + (c.c_custkey * 53) % 1300 AS DOUBLE) / 100 AS lat
+         CAST(-4700 + (c.c_custkey * 53 + c.c_custkey // 1300) % 1300 AS DOUBLE) / 100 AS lat
   FROM customer c
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey)"""
