@@ -67,7 +67,9 @@ def hazard_levels(flags: DataFrame, key: str) -> DataFrame:
         ).alias("_prone"),
         F.bool_or("in_coastal_inundation_1_aep").alias("_c1"),
         F.bool_or("in_coastal_inundation_100yr").alias("_c100"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hazard_sources")))).alias("hazard_sources"),
+        # collect_set of per-cell source lists is bounded by the number of
+        # layer combinations, not by the number of cells of the area.
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hazard_sources")))).alias("hazard_sources"),
         F.count(F.lit(1)).alias("cells_examined"),
     )
     flood = F.when(F.col("_plain"), "high").when(F.col("_prone"), "medium").otherwise("low")
