@@ -168,12 +168,11 @@ def partitioned_sink_roundtrip(spark, sf):
             T.StructField("c_mktsegment", T.StringType(), True, {"comment": "Partition column."}),
         ]
     )
-    c = read_table(spark, sf, "customer", *schema.fieldNames())
-    typed = c.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema.fields]
-    )
-    for _ in range(2):
-        typed.repartition("c_mktsegment").write.mode("overwrite").partitionBy("c_mktsegment").parquet(path)
+    from geomart.sources import sinks
+
+    typed = sinks.conform(read_table(spark, sf, "customer", *schema.fieldNames()), schema)
+    for _ in range(2):  # a re-run fully replaces, it does not append
+        sinks.write_partitioned(typed, path, ["c_mktsegment"], sort_within=["c_custkey"])
     return spark.read.parquet(path).select(*schema.fieldNames())
 
 
