@@ -39,56 +39,78 @@ def centroid_cells(df: DataFrame, ring_col: str, keys: list[str]) -> DataFrame:
 _EPS = 1e-9
 
 
+def _row_lat(r):
+    """Latitude of the centre line of cell row ``r``."""
+    return F.asin(r.cast("double") * cells.SIDE_KM * 1.5 / F.lit(cells.Y_SCALE)) / F.lit(cells.DEG)
+
+
 def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     """Cells whose centre lies inside each polygon: ``(id, cell)``.
 
-    Candidates are the cells whose centre lies in the ring's bounding box,
-    exploded first into rows of constant ``r`` (row bands) and then into
-    ``q`` within each band; only those reach the point-in-ring test. A band
-    with no cell centre inside the box yields an empty range.
+    Scanline fill. Each ring edge is crossed with the centre line of every
+    cell row it straddles (rows come from the edge's projected y-range), the
+    crossings of one (polygon, row) are sorted and paired into inside
+    intervals, and the cells of each interval are exploded. This is the
+    even-odd ray test with the same straddle rule and the same crossing
+    arithmetic, but the ring is never copied per candidate, and a large
+    polygon spreads over many (polygon, row) groups instead of one task.
     """
-    b = rings.bbox(ring_col)
-    x0, y0 = cells.project(b.xmin, b.ymin)
-    x1, y1 = cells.project(b.xmax, b.ymax)
-    row_h = cells.SIDE_KM * 1.5
-    col_w = cells.SIDE_KM * cells.SQRT3
-    bands = df.select(
+    n = F.size(ring_col)
+    edges = df.select(
         F.col(id_col),
-        F.col(ring_col),
-        b.alias("_bb"),
-        x0.alias("_x0"),
-        x1.alias("_x1"),
-        # Rows whose centre line lies inside the projected box (the projection
-        # is monotonic in lon and lat, so the box maps to a box exactly).
+        F.explode(F.arrays_zip(F.slice(ring_col, 1, n - 1).alias("a"), F.slice(ring_col, 2, n - 1).alias("b"))).alias("e"),
+    ).select(
+        id_col,
+        F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"),
+        F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"),
+    ).filter(F.col("ay") != F.col("by"))
+    row_h = cells.SIDE_KM * 1.5
+    _, ylo = cells.project(F.lit(cells.CENTRE_LON), F.least("ay", "by"))
+    _, yhi = cells.project(F.lit(cells.CENTRE_LON), F.greatest("ay", "by"))
+    rows = edges.select(
+        "*",
         F.explode(
-            F.sequence(
-                F.ceil(y0 / row_h - _EPS).cast("bigint"), F.floor(y1 / row_h + _EPS).cast("bigint")
-            )
+            F.sequence(F.ceil(ylo / row_h - _EPS).cast("bigint"), F.floor(yhi / row_h + _EPS).cast("bigint"))
         ).alias("_r"),
+    ).withColumn("_lat", _row_lat(F.col("_r")))
+    py = F.col("_lat")
+    crossings = rows.filter((F.col("ay") > py) != (F.col("by") > py)).select(
+        id_col,
+        "_r",
+        ((F.col("bx") - F.col("ax")) * (py - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("_xint"),
+    )
+    # One group per (polygon, row): its crossings, bounded by the ring size.
+    lines = crossings.groupBy(id_col, "_r").agg(F.array_sort(F.collect_list("_xint")).alias("_xs"))
+    spans = lines.select(
+        id_col,
+        "_r",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), (F.size("_xs") / 2).cast("int") - 1),
+                lambda i: F.struct(F.element_at("_xs", i * 2 + 1).alias("lo"), F.element_at("_xs", i * 2 + 2).alias("hi")),
+            )
+        ).alias("_s"),
     )
+    col_w = cells.SIDE_KM * cells.SQRT3
+    x_lo, _ = cells.project(F.col("_s.lo"), F.lit(0.0))
+    x_hi, _ = cells.project(F.col("_s.hi"), F.lit(0.0))
     half_r = F.col("_r").cast("double") / 2.0
-    cand = bands.select(
+    cand = spans.select(
         id_col,
-        ring_col,
-        "_bb",
         "_r",
+        "_s",
         F.explode(
             F.sequence(
-                F.ceil(F.col("_x0") / col_w - half_r - _EPS).cast("bigint"),
-                F.floor(F.col("_x1") / col_w - half_r + _EPS).cast("bigint"),
+                F.ceil(x_lo / col_w - half_r - _EPS).cast("bigint"),
+                F.floor(x_hi / col_w - half_r + _EPS).cast("bigint"),
             )
         ).alias("_q"),
     )
     cx, cy = cells.centre_xy(F.col("_q"), F.col("_r"))
-    lon, lat = cells.unproject(cx, cy)
-    bb = F.col("_bb")
-    centres = cand.select(id_col, ring_col, "_q", "_r", "_bb", lon.alias("_lon"), lat.alias("_lat"))
-    # Cheap bounding-box test first (codegen), ray casting only for survivors.
-    in_box = F.col("_lon").between(bb.xmin, bb.xmax) & F.col("_lat").between(bb.ymin, bb.ymax)
-    return (
-        centres.filter(in_box)
-        .filter(rings.contains_point(F.col(ring_col), F.col("_lon"), F.col("_lat")))
-        .select(F.col(id_col), cells.pack(F.col("_q"), F.col("_r")).alias("cell"))
+    lon, _ = cells.unproject(cx, cy)
+    # Exact half-open test on the same centre longitude the ray test uses.
+    return cand.filter((lon >= F.col("_s.lo")) & (lon < F.col("_s.hi"))).select(
+        F.col(id_col), cells.pack(F.col("_q"), F.col("_r")).alias("cell")
     )
 
 
