@@ -63,3 +63,20 @@ def rollup(df: DataFrame, keys: Sequence[str], sum_col: str, max_col: str) -> Da
     return df.groupBy(*keys).agg(
         F.round(F.sum(sum_col), 2).alias(f"total_{sum_col}"), F.max(max_col).alias(f"max_{max_col}")
     )
+
+
+def one_to_one_violations(df: DataFrame, name: str, code: str) -> DataFrame:
+    """Names mapped to more than one code, or codes to more than one name.
+
+    A bridge keyed by name while its shares are per code double-counts when
+    two codes share a name; run this before joining on the name and fail
+    on any row. Two aggregates, no window."""
+    by_name = (
+        df.groupBy(name).agg(F.countDistinct(code).alias("n")).filter("n > 1")
+        .select(F.lit(name).alias("side"), F.col(name).cast("string").alias("value"), "n")
+    )
+    by_code = (
+        df.groupBy(code).agg(F.countDistinct(name).alias("n")).filter("n > 1")
+        .select(F.lit(code).alias("side"), F.col(code).cast("string").alias("value"), "n")
+    )
+    return by_name.unionByName(by_code)

@@ -118,3 +118,17 @@ def cell_bridge(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     """Cell -> area bridge: each cell assigned to at most one polygon, the
     smallest id wins (deterministic form of the reference's de-duplication)."""
     return polyfill(df, ring_col, id_col).groupBy("cell").agg(F.min(id_col).alias(id_col))
+
+
+def hazard_polygon_cells(df: DataFrame, ring_col: str, id_col: str, keys: list[str], mode: str = "centroid") -> DataFrame:
+    """Cells of hazard polygons, de-duplicated over ``keys``.
+
+    ``centroid`` (default) emits the single centroid cell per polygon;
+    ``polyfill`` emits every cell whose centre is inside the polygon.
+    """
+    if mode == "centroid":
+        return centroid_cells(df, ring_col, keys)
+    if mode == "polyfill":
+        meta = df.select(id_col, *[k for k in keys if k != id_col])
+        return polyfill(df, ring_col, id_col).join(meta, id_col).select(*keys, "cell").distinct()
+    raise ValueError(f"unknown mode {mode}")

@@ -111,3 +111,22 @@ def test_top_k_per_group_salted(spark):
     df = spark.createDataFrame([("g", i, float(i % 13)) for i in range(500)], "g string, id int, v double")
     out = names.top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 5, salt_on="id")
     assert [(r.id, r.rank) for r in out.orderBy("rank").collect()] == [(12, 1), (25, 2), (38, 3), (51, 4), (64, 5)]
+
+
+def test_one_to_one_violations(spark):
+    df = spark.createDataFrame([("Te Aro", "A1"), ("Te Aro", "A2"), ("Kelburn", "A3")], "name string, code string")
+    v = {(r.side, r.value) for r in bridge.one_to_one_violations(df, "name", "code").collect()}
+    assert v == {("name", "Te Aro")}
+
+
+def test_hazard_cells_modes(spark):
+    from geomart.functions import rings
+    from geomart.operators import spatial
+
+    text = '{"type":"Polygon","coordinates":[[[174.70,-41.30],[174.76,-41.30],[174.76,-41.26],[174.70,-41.26],[174.70,-41.30]]]}'
+    df = rings.with_polygon_from_geojson(spark.createDataFrame([(1, "plain", text)], "id int, layer string, t string"), "t")
+    cen = spatial.hazard_polygon_cells(df, "ring", "id", ["layer"], "centroid")
+    fill = spatial.hazard_polygon_cells(df, "ring", "id", ["layer"], "polyfill")
+    assert cen.count() == 1
+    assert fill.count() > 20  # ~5 km x 4.4 km at ~0.7 km2 per cell
+    assert cen.join(fill, ["layer", "cell"]).count() == 1
