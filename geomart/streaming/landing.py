@@ -107,3 +107,37 @@ def bronze_tables(
         return run
 
     return {e: make(e, s) for e, s in entities.items()}
+
+
+def infer_landing_schema(
+    spark: SparkSession, fmt: str, path: str, sampling_ratio: float | None = None
+) -> StructType:
+    """Column types inferred from the landed files (S3).
+
+    File streams need a schema up front; inferring it with a batch read at
+    the start of each run, and widening the sink with new columns, gives the
+    additive evolution a hosted incremental loader provides. For large
+    landings pass ``sampling_ratio`` (a row sample; a column present only in
+    unsampled rows appears once a later run samples it)."""
+    reader = spark.read.format(fmt).option("recursiveFileLookup", "true")
+    if sampling_ratio is not None:
+        reader = reader.option("samplingRatio", str(sampling_ratio))
+    if fmt == "csv":
+        reader = reader.option("header", "true").option("inferSchema", "true")
+    return reader.load(path).schema
+
+
+def evolving_bronze_append(
+    spark: SparkSession, fmt: str, landing: str, sink: str, checkpoint: str, source_tag: str | None = None
+) -> int:
+    """Append new landing files with a freshly inferred schema; columns that
+    appear later are NULL in rows written earlier when the sink is read with
+    ``mergeSchema``."""
+    schema = infer_landing_schema(spark, fmt, landing)
+    opts = {"header": "true"} if fmt == "csv" else None
+    return bronze_append(spark, fmt, landing, schema, sink, checkpoint, source_tag=source_tag, options=opts)
+
+
+def read_sink(spark: SparkSession, sink: str) -> DataFrame:
+    """Read a streaming Parquet sink, merging evolved file schemas."""
+    return spark.read.option("mergeSchema", "true").parquet(sink)

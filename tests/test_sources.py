@@ -82,3 +82,18 @@ def test_seed_sink_and_floor(spark):
         landing.check_landing_floor(spark, land, min_bytes=10_000_000)
     _, rows = landing.check_landing_floor(spark, land, min_bytes=1, min_rows=10)
     assert rows == 10
+
+
+def test_stream_schema_evolution(spark):
+    from geomart.streaming import landing as stream
+
+    base = scratch_path(spark, "evolve_stream")
+    landing, sink, ckpt = f"{base}/landing/ev", f"{base}/bronze/ev", f"{base}/_ck/ev"
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, kind string").write.json(f"{landing}/2024-01-01")
+    stream.evolving_bronze_append(spark, "json", landing, sink, ckpt, source_tag="ev")
+    spark.createDataFrame([(3, "c", 1.5)], "id long, kind string, score double").write.json(f"{landing}/2024-01-02")
+    stream.evolving_bronze_append(spark, "json", landing, sink, ckpt, source_tag="ev")
+    rows = {r.id: r for r in stream.read_sink(spark, sink).collect()}
+    assert sorted(rows) == [1, 2, 3]  # each file appended once
+    assert rows[1].score is None and rows[3].score == 1.5
+    assert str(rows[3]._run_date) == "2024-01-02"
