@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomart.operators.snapshots import latest_snapshot
 from geomart.plans import views as V
 from geomart.plans.registry import register
 from geomart.session import scratch_path
