@@ -102,3 +102,41 @@ def reachable_from(
         .select(group, "area_id", "area_name")
         .distinct()
     )
+
+
+def with_matrix_metadata(
+    matrix: DataFrame,
+    mode: str,
+    feed_source: str,
+    version: str,
+    departure_time: str = "08:30",
+    service_date: str | None = None,
+) -> DataFrame:
+    """Matrix rows with the lookup columns of the stored table: mode, feed,
+    departure, service date and computation version."""
+    return matrix.select(
+        "*",
+        F.lit(mode).alias("mode"),
+        F.lit(feed_source).alias("feed_source"),
+        F.lit(departure_time).alias("departure_time"),
+        (F.lit(service_date).cast("date") if service_date else F.lit(None).cast("date")).alias("service_date"),
+        F.lit(version).alias("computation_version"),
+    )
+
+
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """Store the matrix partitioned by (mode, feed_source) and sorted by
+    origin inside the files: lookups by mode prune folders, lookups by
+    origin skip row groups through min/max statistics."""
+    from geomart.sources.sinks import write_partitioned
+
+    write_partitioned(matrix, path, ["mode", "feed_source"], sort_within=["origin", "destination"])
+
+
+def matrix_lookup(matrix: DataFrame, mode: str, version: str | None = None) -> DataFrame:
+    """Filter a stored matrix to one mode and (optionally) one computation
+    version; the version is a parameter, never a hard-coded tag."""
+    out = matrix.filter(F.col("mode") == mode)
+    if version is not None:
+        out = out.filter(F.col("computation_version") == version)
+    return out

@@ -97,3 +97,19 @@ def test_stream_schema_evolution(spark):
     assert sorted(rows) == [1, 2, 3]  # each file appended once
     assert rows[1].score is None and rows[3].score == 1.5
     assert str(rows[3]._run_date) == "2024-01-02"
+
+
+def test_matrix_sink_prunes(spark):
+    edges = spark.createDataFrame([(0, 1, 10), (1, 2, 20), (2, 0, 30)], "src int, dst int, minutes bigint")
+    m = reach.with_matrix_metadata(reach.travel_time_matrix(edges), "transit", "feed_a", "v2", service_date="2024-01-10")
+    path = scratch_path(spark, "matrix")
+    reach.write_matrix(m, path)
+    stored = spark.read.parquet(path)
+    look = reach.matrix_lookup(stored, "transit", "v2").filter(F.col("origin") == 0)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = look._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(mode" in plan
+    assert "EqualTo(origin,0)" in plan
+    assert {(r.destination, r.travel_minutes) for r in look.collect()} == {(0, 0), (1, 10), (2, 30)}
+    assert reach.matrix_lookup(stored, "transit", "v2-test").count() == 0
