@@ -130,3 +130,13 @@ def test_hazard_cells_modes(spark):
     assert cen.count() == 1
     assert fill.count() > 20  # ~5 km x 4.4 km at ~0.7 km2 per cell
     assert cen.join(fill, ["layer", "cell"]).count() == 1
+
+
+def test_exact_ntile_with_a_hot_value(spark):
+    # A third of the rows share one income: the unique tie-break key spreads
+    # them over partitions and the buckets still equal NTILE's.
+    rows = [(i, 50_000.0 if i % 3 == 0 else float(i)) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "id int, income double")
+    mine = {r.id: r.d for r in score.exact_ntile(df, 10, ["income", "id"], out="d", partitions=6).collect()}
+    ref = {r.id: r.d for r in df.select("id", F.ntile(10).over(Window.orderBy("income", "id")).alias("d")).collect()}
+    assert mine == ref

@@ -113,3 +113,61 @@ def test_matrix_sink_prunes(spark):
     assert "EqualTo(origin,0)" in plan
     assert {(r.destination, r.travel_minutes) for r in look.collect()} == {(0, 0), (1, 10), (2, 30)}
     assert reach.matrix_lookup(stored, "transit", "v2-test").count() == 0
+
+
+def test_positional_sheet_maps_titles_by_position(spark):
+    from geomart.sources import sheets
+
+    base = scratch_path(spark, "sheet_unit")
+    rows = [
+        ("Date", "Sales", "HPI"),  # titles: columns swapped on purpose
+        ("junk", "", ""), ("junk", "", ""), ("junk", "", ""), ("junk", "", ""),
+        ("2024-03-31", "10", "1250.5"),
+        ("not a date", "1", "2"),
+        ("2024-06-30", "", ""),  # all-empty values: dropped
+        ("2024-09-30", "12", "1262.5"),
+    ]
+    spark.createDataFrame(rows, "a string, b string, c string").coalesce(1).write.csv(base)
+    out = sheets.read_positional(spark, base, {"HPI": "hpi", "Sales": "sales_count"})
+    got = sorted((str(r.quarter), r.hpi, r.sales_count) for r in out.collect())
+    assert got == [("2024-01-01", 1250.5, 10.0), ("2024-07-01", 1262.5, 12.0)]
+
+
+def test_tidy_sheet_checks(spark):
+    import pytest
+
+    from geomart.sources import sheets
+
+    base = scratch_path(spark, "tidy_unit")
+    spark.createDataFrame([("2024-01-31", "x", "1"), ("n/a", "y", "2")], "` date ` string, ` series` string, `value ` string") \
+        .write.option("header", "true").csv(base)
+    out = sheets.read_tidy(spark, base, ["date", "series", "value"], min_rows=1)
+    assert [r.series for r in out.collect()] == ["x"]
+    with pytest.raises(sheets.SheetValidationError):
+        sheets.read_tidy(spark, base, ["date", "area_name"])
+    with pytest.raises(sheets.SheetValidationError):
+        sheets.read_tidy(spark, base, ["date"], min_rows=5)
+
+
+def test_retention_ignores_unparsable_names(spark):
+    import datetime as dt
+
+    from geomart.sources import landing
+
+    names = spark.createDataFrame([("2023-01-01",), ("2024-06-01",), ("latest",), ("2024-13-40",)], "n string")
+    out = landing.retention_candidates(names, "n", 180, F.lit(dt.date(2024, 7, 1)))
+    assert [r.n for r in out.collect()] == ["2023-01-01"]
+
+
+def test_hash_skip_transitions(spark):
+    import datetime as dt
+
+    from geomart.sources import landing
+
+    t = [dt.datetime(2024, 1, d) for d in range(1, 7)]
+    runs = spark.createDataFrame(
+        [(1, "s", "h1", t[0]), (2, "s", "h1", t[1]), (3, "s", None, t[2]), (4, "s", "h1", t[3]), (5, "s", "h2", t[4]), (6, "o", "h2", t[5])],
+        "run_id long, source string, content_hash string, fetched_at timestamp",
+    )
+    got = {r.run_id: r.status for r in landing.hash_skip_status(runs).collect()}
+    assert got == {1: "succeeded", 2: "skipped", 3: "failed", 4: "skipped", 5: "succeeded", 6: "succeeded"}
