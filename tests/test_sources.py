@@ -171,3 +171,19 @@ def test_hash_skip_transitions(spark):
     )
     got = {r.run_id: r.status for r in landing.hash_skip_status(runs).collect()}
     assert got == {1: "succeeded", 2: "skipped", 3: "failed", 4: "skipped", 5: "succeeded", 6: "succeeded"}
+
+
+def test_matrix_strategies_agree(spark):
+    rows = [(a, b, 1 + (a * 7 + b * 3) % 40) for a in range(9) for b in range(9) if a != b and (a + b) % 3 != 0]
+    df = spark.createDataFrame(rows, "src int, dst int, minutes bigint")
+    one = {tuple(r) for r in reach.travel_time_matrix(df, 90, 8, strategy="bucketed").collect()}
+    two = {tuple(r) for r in reach.travel_time_matrix(df, 90, 8, strategy="checkpoint").collect()}
+    assert one == two and len(one) > 9
+
+
+def test_matrix_auto_strategy_switches(spark):
+    rows = [(a, b, 1 + (a * 5 + b) % 30) for a in range(12) for b in range(12) if a != b and (a * b) % 4 == 1]
+    df = spark.createDataFrame(rows, "src int, dst int, minutes bigint")
+    small = {tuple(r) for r in reach.travel_time_matrix(df, strategy="auto").collect()}
+    large = {tuple(r) for r in reach.travel_time_matrix(df, strategy="auto", small_graph_nodes=3).collect()}
+    assert small == large
