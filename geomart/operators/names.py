@@ -25,18 +25,30 @@ def top_k_per_group(
     return stage1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_salt", "_rn")
 
 
-def substrings(text: Column) -> Column:
-    """Every distinct non-empty substring of ``text`` (lower-cased).
+def substrings(text: Column, lengths: Column | None = None) -> Column:
+    """Distinct non-empty substrings of ``text`` (lower-cased).
 
-    The fan-out is bounded by the name length (L*(L+1)/2), so a contains-match
-    becomes an equi-join instead of a cross join."""
+    With ``lengths`` (an array of ints) only substrings of those lengths are
+    produced; otherwise all of them. The fan-out is bounded by the name
+    length, so a contains-match becomes an equi-join instead of a cross join.
+    """
     t = F.lower(text)
     n = F.length(t)
+    if lengths is None:
+        return F.array_distinct(
+            F.flatten(
+                F.transform(
+                    F.sequence(F.lit(1), n),
+                    lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(t, i, j - i + 1)),
+                )
+            )
+        )
+    fitting = F.filter(lengths, lambda ln: (ln >= 1) & (ln <= n))
     return F.array_distinct(
         F.flatten(
             F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(t, i, j - i + 1)),
+                fitting,
+                lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda i: F.substring(t, i, ln)),
             )
         )
     )
@@ -59,7 +71,18 @@ def resolve_names(
         query_col, id_col, name_col, F.lit("exact").alias("match")
     )
     unmatched = q.join(exact.select(query_col).distinct(), query_col, "left_anti")
-    subs = targets.select(id_col, name_col, rank_col, F.explode(substrings(F.col(name_col))).alias("_sub"))
+    # Only substrings as long as some query can match: the distinct query
+    # lengths form one small array (bounded by the longest name), passed to
+    # every target row as a scalar subquery.
+    lengths = unmatched.select(F.collect_set(F.length(F.lower(F.col(query_col))))).scalar()
+    per_len = targets.select(id_col, name_col, rank_col, F.explode(lengths).alias("_len")).filter(
+        F.col("_len") <= F.length(name_col)
+    )
+    # Substrings of different lengths never coincide; array_distinct removes
+    # repeats within one length, so no further de-duplication is needed.
+    subs = per_len.select(
+        id_col, name_col, rank_col, F.explode(substrings(F.col(name_col), F.array("_len"))).alias("_sub")
+    )
     cand = unmatched.withColumn("_sub", F.lower(F.col(query_col))).join(subs, "_sub")
     fuzzy = top_k_per_group(
         cand,
