@@ -144,9 +144,12 @@ def latest_file_union(spark, sf):
         "customer": ("c_custkey", "c_name"),
     }
     for ds, (code, label) in sets.items():
+        # Two dated landings per dataset, written in one job as run=<date>/ folders.
         t = read_table(spark, sf, ds, code, label)
-        t.write.option("header", "true").csv(f"{base}/{ds}/2024-01-01")
-        t.withColumn(label, F.lower(label)).write.option("header", "true").csv(f"{base}/{ds}/2024-02-01")
+        both = t.withColumn("run", F.lit("2024-01-01")).unionByName(
+            t.withColumn(label, F.lower(label)).withColumn("run", F.lit("2024-02-01"))
+        )
+        both.write.partitionBy("run").option("header", "true").csv(f"{base}/{ds}")
     cols = {**sets, "missing_set": ("code", "label")}
     return landing.latest_file_union(spark, base, ["region", "nation", "customer", "missing_set"], cols)
 
