@@ -122,7 +122,11 @@ def _matrix_by_bucketed_log(spark, e, nodes, cap_minutes, max_legs, label_bucket
         append(improved.observe(obs, F.count(F.lit(1)).alias("rows")), "append")
         if obs.get["rows"] == 0:
             break
-    return spark.table(table).groupBy(*keys).agg(F.min("minutes").alias("minutes"))
+    result = spark.table(table).groupBy(*keys).agg(F.min("minutes").alias("minutes")).checkpoint()
+    # External table: dropping it only unregisters the name; the label files
+    # stay in the shared scratch folder.
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return result
 
 
 def _matrix_by_checkpoint(spark, e, nodes, cap_minutes, max_legs, checkpoint_every):
