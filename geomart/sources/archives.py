@@ -46,6 +46,21 @@ def _feed_version(zf: zipfile.ZipFile) -> str | None:
     return values[i].strip() if i < len(values) else None
 
 
+def _entry_batches(zf: zipfile.ZipFile, name: str) -> Iterator[list[str]]:
+    """Lines of one entry in batches of at most ``_BATCH``, streamed from
+    the archive (never the whole entry in memory); the BOM is stripped."""
+    with zf.open(name) as raw:
+        text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
+        batch: list[str] = []
+        for line in text:
+            batch.append(line.rstrip("\r\n"))
+            if len(batch) == _BATCH:
+                yield batch
+                batch = []
+        if batch:
+            yield batch
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
@@ -54,21 +69,21 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for name in zf.namelist():
                     if not name.endswith(".txt"):
                         continue
-                    lines = zf.read(name).decode("utf-8-sig").splitlines()
-                    if len(lines) <= 1:  # header-only file
-                        continue
                     entity = name[: -len(".txt")]
-                    for start in range(0, len(lines), _BATCH):
-                        chunk = lines[start : start + _BATCH]
+                    start = 0
+                    for lines in _entry_batches(zf, name):
+                        if start == 0 and len(lines) <= 1:  # header-only file
+                            break
                         yield pd.DataFrame(
                             {
                                 "archive": path,
                                 "entity": entity,
                                 "feed_version": version,
-                                "line_no": range(start, start + len(chunk)),
-                                "line": chunk,
+                                "line_no": range(start, start + len(lines)),
+                                "line": lines,
                             }
                         )
+                        start += len(lines)
 
 
 def read_archive_lines(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
