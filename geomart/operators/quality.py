@@ -66,6 +66,7 @@ def expectation_report(
     return agg.select(F.inline(stack), "total_rows")
 
 
-# Coordinate plausibility box used by the address and stop rules.
+# Coordinate plausibility box used by the address and stop
+# rules and by the polygon-centroid filter.
 LAT_RANGE = (-47.5, -34.0)
 LON_RANGE = (166.0, 179.0)

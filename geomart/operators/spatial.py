@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomart.functions import cells, rings
+from geomart.operators.quality import LAT_RANGE, LON_RANGE
 
 
 def kring_expand(df: DataFrame, cell_col: str, k: int = 1, out: str = "cell") -> DataFrame:
@@ -18,7 +19,7 @@ def polygon_centroids(df: DataFrame, ring_col: str, area_out: str | None = None)
 
 
 def in_plausible_box(
-    lon: str, lat: str, lon_range=(166.0, 179.0), lat_range=(-47.5, -34.0)
+    lon: str, lat: str, lon_range=LON_RANGE, lat_range=LAT_RANGE
 ):
     """Centroid bounding-box plausibility predicate."""
     return F.col(lon).between(*lon_range) & F.col(lat).between(*lat_range)
