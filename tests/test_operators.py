@@ -140,3 +140,31 @@ def test_exact_ntile_with_a_hot_value(spark):
     mine = {r.id: r.d for r in score.exact_ntile(df, 10, ["income", "id"], out="d", partitions=6).collect()}
     ref = {r.id: r.d for r in df.select("id", F.ntile(10).over(Window.orderBy("income", "id")).alias("d")).collect()}
     assert mine == ref
+
+
+def test_join_small_checks_size_before_broadcast(spark):
+    from geomart.operators import joins
+
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        under = joins.join_small(big, small, "k", max_rows=100)
+        over = joins.join_small(big, small, "k", max_rows=5)
+        assert "BroadcastHashJoin" in under._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in over._jdf.queryExecution().executedPlan().toString()
+        assert under.count() == over.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_expectations_observed_in_same_pass(spark):
+    from pyspark.sql import Observation
+
+    df = spark.createDataFrame([(1, 5.0), (2, -1.0), (3, None)], "id int, v double")
+    obs = Observation("dq")
+    kept = quality.apply_expectations(df, keep={"has_v": "v IS NOT NULL"}, drop={"pos": "v >= 0"}, observation=obs)
+    assert [r.id for r in kept.collect()] == [1]
+    assert obs.get == {"failed_has_v": 1, "failed_pos": 2, "rows_in": 3}
