@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +57,27 @@ def passes(frames: Iterator[pd.DataFrame], text: str = "text", most: int = PASS_
         cuts = [0, *((part[1:] != part[:-1]).nonzero()[0] + 1).tolist(), len(frame)]
         for a, b in zip(cuts, cuts[1:]):
             yield frame.iloc[a:b]
+
+
+def carried(docs: DataFrame, added: list[str]) -> list[Column]:
+    """Columns of ``docs`` that an operator hands on; one named like a column
+    that the operator adds gives way to it."""
+    return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once: they need
+    not have it on their path, nor share a folder with the driver."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    zipped = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(zipped))
+    _shipped.add(sc.applicationId)

@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomart.llm.common import table
+from geomart.llm.decontam import leaks
+from geomart.llm.linededup import remove_repeated_chunks
+from geomart.llm.ngramjoin import similar_documents
 from geomart.llm.packing import pack, token_pieces
+from geomart.llm.quality import resample
 from geomart.llm.registry import register
 from geomart.llm.substring import remove_repeated_windows
 from geomart.llm.tokenfile import read_token_file, write_token_file
+from geomart.llm.topk import quantised, top_k
 from geomart.session import scratch_path
 
 SEQUENCE_TOKENS = 2048
@@ -58,3 +63,52 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), width=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resample(docs, table(spark, sf_dir, "labels"), F.col("quality") == 1)
+
+
+@register("op1_quality_resampling")
+def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the resampling keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return good_documents(spark, docs, sf_dir).select("doc_id", "log_weight", "sample_key")
+
+
+@register("op5_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_chunks(docs)
+
+
+@register("op8_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
+
+
+_VALID = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
+
+
+@register(
+    "op10_exact_top_k",
+    f"""
+    WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings WHERE {_VALID}),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = quantised(table(spark, sf_dir, "embeddings"), scale=256)
+    return top_k(v, v.filter(F.col("vec_id") % 50 == 0), k=5)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomart.llm.common import partitions_for, passes, text_key, total_text_bytes
+from geomart.llm.common import carried, partitions_for, passes, text_key, total_text_bytes
 from geomart.llm.words import token_hashes, window_hashes
 
 #: Bytes of text whose windows one reducer compares, and that one run covers.
@@ -36,7 +36,7 @@ def _squeeze(a: np.ndarray) -> bytes:
     """Sorted or short integers as zstandard-compressed byte planes."""
     import zstandard
 
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
@@ -44,7 +44,7 @@ def _unsqueeze(blob: bytes, dtype: type) -> np.ndarray:
     import zstandard
 
     size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1) if blob else np.zeros((size, 0), np.uint8)
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
@@ -142,8 +142,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, doc_id: str = "doc
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("_k"))
     sent = keyed.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).mapInPandas(_window_blobs(width, buckets), _BLOBS)
     answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answers, "_id long, _key long, gone binary")
-    per_doc = answers.groupBy("_id", "_key").agg(F.collect_list("gone").alias("_gone"))
-    joined = docs.withColumn("_k", text_key(text)).join(per_doc, (F.col(doc_id) == F.col("_id")) & (F.col("_k") == F.col("_key")), "left").drop("_id", "_key", "_k")
+    per_doc = answers.groupBy(F.col("_id").alias("__llm_id"), F.col("_key").alias("__llm_key")).agg(F.collect_list("gone").alias("__llm_gone"))
+    joined = docs.withColumns({"__llm_id": F.col(doc_id).cast("long"), "__llm_key": text_key(text)}).join(per_doc, ["__llm_id", "__llm_key"], "left")
 
     @F.pandas_udf("n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept_text string")
     def remove(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -168,4 +168,6 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, doc_id: str = "doc
                 out.append((n, int(mask.sum()), spans, b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "removed", "kept_text"])
 
-    return joined.withColumn("_r", remove(F.col(text), "_gone")).select(*docs.columns, "_r.*")
+    done = joined.withColumn("__llm_kept", remove(F.col(text), "__llm_gone"))
+    added = ["n_words", "n_removed", "removed", "kept_text"]
+    return done.select(*carried(docs, added), *[F.col(f"__llm_kept.{c}") for c in added])

@@ -15,10 +15,12 @@ _WORD_BASE = U(0xD6E8FEB86659FD93)
 #: Classes of bytes: 0 white space, 1 part of a word, 2 punctuation.
 WHITE = np.ones(256, np.uint8)
 WHITE[[0x20, *range(0x09, 0x0E)]] = 0
+_PUNCT = [b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x5F]
 WORD_PUNCT = WHITE.copy()
-for _b in range(0x21, 0x7F):
-    if not chr(_b).isalnum() and _b != 0x5F:
-        WORD_PUNCT[_b] = 2
+WORD_PUNCT[_PUNCT] = 2
+#: Punctuation parts words and is no token.
+WORDS_ONLY = WHITE.copy()
+WORDS_ONLY[_PUNCT] = 0
 
 
 def mix(h: np.ndarray) -> np.ndarray:
