@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomart.llm.common import passes
+from geomart.llm.common import passes, text_key
 from geomart.llm.words import WORDS_ONLY, token_hashes, window_hashes
 
 SEED_WORDS = 3
@@ -38,7 +38,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of item text in a block, on average; a block is broadcast with its task.
 BLOCK_BYTES = 4 << 20
 
-FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, n_item_words int"
+FOUND = "doc_id long, text_key long, item_id long, score double, first_word long, last_word long, n_item_words int"
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -136,9 +136,9 @@ def _align(names: list[int | None], items: list[np.ndarray], seeds: np.ndarray,
                 score, _, a, end = best
                 if score >= least_score * MATCH * len(item):
                     _, back = smith_waterman(item[::-1], mine[a:end][::-1])
-                    rows.append((part["doc_id"].iloc[d], names[i], score / (MATCH * len(item)), end - back, end, len(item)))
+                    rows.append((part["doc_id"].iloc[d], part["_k"].iloc[d], names[i], score / (MATCH * len(item)), end - back, end, len(item)))
             if rows:
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word", "n_item_words"])
+                frame = pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "score", "first_word", "last_word", "n_item_words"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return align
@@ -156,9 +156,10 @@ def leaks(
     text: str = "text",
 ) -> DataFrame:
     """One row per document and item found in it: the score (1: whole copy) and
-    the words of the document that the best alignment covers (end exclusive)."""
+    the words of the document that the best alignment covers (end exclusive).
+    ``text_key`` tells rows with the same ``doc_id`` apart."""
     spark = docs.sparkSession
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("_k")).filter(F.length("text") > 0)
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

@@ -159,7 +159,8 @@ def _find(root: np.ndarray, i: int) -> int:
 
 
 def similar_documents(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_text_links``.
+    """One row per row of ``docs``: ``doc_id, text_key, class_id, n_links,
+    n_text_links``.
 
     ``class_id`` is the smallest ``doc_id`` that links lead to (the document's
     own if it has none). ``n_links`` counts other rows whose n-gram set has a
@@ -202,7 +203,7 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = THRESH
     out = signed.join(own, ["w1", "w2"], "left")
     counted_row = F.col("doc_id").isNotNull()
     return out.select(
-        "doc_id", F.when(counted_row, F.col("class_id")).alias("class_id"),
+        "doc_id", F.col("_k").alias("text_key"), F.when(counted_row, F.col("class_id")).alias("class_id"),
         F.when(counted_row, F.col("weight") + F.col("copies") - 1).otherwise(0).alias("n_links"),
         F.when(counted_row, F.col("links")).otherwise(0).alias("n_text_links"),
     )

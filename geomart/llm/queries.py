@@ -14,8 +14,10 @@ from geomart.llm.packing import pack, token_pieces
 from geomart.llm.quality import resample
 from geomart.llm.registry import register
 from geomart.llm.substring import remove_repeated_windows
+from geomart.llm.surrogates import replace_entities
 from geomart.llm.tokenfile import read_token_file, write_token_file
 from geomart.llm.topk import quantised, top_k
+from geomart.llm.toxicity import fit, score_toxicity
 from geomart.session import scratch_path
 
 SEQUENCE_TOKENS = 2048
@@ -112,3 +114,18 @@ _VALID = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR is
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quantised(table(spark, sf_dir, "embeddings"), scale=256)
     return top_k(v, v.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@register("op4_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs, table(spark, sf_dir, "labels"), toxic=F.col("toxic") == 1, learn=~held_out)
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op9_pii_surrogates")
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, key="surrogates-1")
