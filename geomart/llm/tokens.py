@@ -2,22 +2,40 @@
 
 The ids of a text are those of its pieces between single spaces, one after
 the other, because the tokenizers used here never merge across a space that
-stands between two non-space characters. Pieces repeat, so each Python worker
-remembers their ids; texts with any other spacing are encoded whole.
+stands between two non-space characters; nor do they merge a run of letters
+with ASCII that follows and is no letter. Pieces and letter runs repeat, so each
+Python worker remembers their ids; texts with any other white space are encoded
+whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Sequence
 
-#: Pieces that a worker remembers before it starts anew (about 150 MB).
-REMEMBERED = 500_000
+import numpy as np
+
+#: Pieces, and letter runs, that a worker remembers before it starts anew
+#: (about 100 MB each).
+REMEMBERED = 600_000
+
+#: White space other than space and line feed.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Latin letters up to the end or to ASCII that is no letter.
+_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\\x21-\\x40\\x5b-\\x60\\x7b-\\x7e\\n]|\\Z)")
+#: Letter runs that are encoded in one go.
+_TOGETHER = 4000
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
+def _single_spaced(text: str) -> bool:
+    """Every space stands between two characters that are no white space."""
+    return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text))
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,31 +43,55 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # without the space before them
+        self.runs: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {"": b""}
+        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
 
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of letter runs that follow a space: many with a bar after each,
+        which is a token of its own that no letter run has."""
+        out: list[bytes] = []
+        for i in range(0, len(runs), _TOGETHER):
+            some = runs[i : i + _TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "| ".join(some) + "|"], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.bar)
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not keep letters and bars apart")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist())]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces that follow a space."""
+        found = [_RUN.match(p) for p in pieces]
+        runs = list({m[0] for m in found if m}.difference(self.runs))
+        self.runs.update(zip(runs, self._encode_runs(runs)))
+        # What follows a run is encoded as it stands, what has none after its space.
+        rest = [p[m.end() :] if m else " " + p for p, m in zip(pieces, found)]
+        new = list(set(rest).difference(self.rests, [""]))
+        self.rests.update(zip(new, self._encode(new)))
+        self.pieces.update((p, (self.runs[m[0]] if m else b"") + self.rests[r]) for p, m, r in zip(pieces, found, rest))
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null
         text has none. Give a few MB of text at a time."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [_pieces(t) if t else [] for t in texts]
-        new = list({p for parts in cut if parts for p in parts}.difference(self.known))
-        self.known.update(zip(new, self._encode(new)))
-        whole = dict(zip((i for i, parts in enumerate(cut) if parts is None), self._encode([t for t, parts in zip(texts, cut) if parts is None])))
-        return [whole[i] if parts is None else b"".join(map(self.known.__getitem__, parts)) for i, parts in enumerate(cut)]
-
-
-def _pieces(text: str) -> list[str] | None:
-    """Pieces that are encoded on their own; None if a space has white space
-    beside it, for then it may belong to a run of spaces."""
-    parts = text.split(" ")
-    if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-        return None
-    return [parts[0], *[" " + p for p in parts[1:]]]
+        for known in (self.pieces, self.runs, self.rests):
+            if len(known) > REMEMBERED:
+                known.clear()
+                self.rests[""] = b""
+        cut = [t.split(" ") if t and _single_spaced(t) else [t or ""] for t in texts]
+        first = self._encode([parts[0] for parts in cut])
+        new: set[str] = set()
+        for parts in cut:
+            new.update(parts[1:])
+        self._learn(list(new.difference(self.pieces)))
+        ids = self.pieces.__getitem__
+        return [x + b"".join(map(ids, parts[1:])) for x, parts in zip(first, cut)]
 
 
 def encoder(path: str) -> PieceEncoder:
