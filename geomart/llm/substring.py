@@ -6,7 +6,8 @@ share one with probability n**2 / 2**65). A task sends each distinct hash once
 per run of documents it reads, with the smallest ``doc_id`` that has it, as
 sorted blobs dealt by hash range; so a passage in a third of all documents
 sends a few entries per task. Reducers find the smallest document per hash and
-answer each document with the hashes to remove, and its repeated windows merge
+answer each document with the hashes to remove (in blobs for groups of
+documents, regrouped to one row per document), and its repeated windows merge
 into maximal removal intervals.
 
 Cases: a null or empty text has no words; a document shorter than the window
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomart.llm.common import carried, partitions_for, passes, text_key, total_text_bytes
-from geomart.llm.words import token_hashes, window_hashes
+from geomart.llm.words import mix, token_hashes, window_hashes
 
 #: Bytes of text whose windows one reducer compares, and that one run covers.
 REDUCER_BYTES = 24 << 20
@@ -107,9 +108,9 @@ def _window_blobs(width: int, buckets: int):
 _BLOBS = "bucket int, wide int, docs binary, keys binary, hashes binary, owners binary, late_hashes binary, late_owners binary"
 
 
-def _answers(frame: pd.DataFrame) -> pd.DataFrame:
-    """For one bucket: per document the hashes of its windows that also start
-    in a document with a smaller id."""
+def _answers(frame: pd.DataFrame, groups: int) -> pd.DataFrame:
+    """For one bucket: the windows that also start in a document with a smaller
+    id, in one blob for each group of documents to answer."""
     hashes, names, keys, told = [], [], [], []
     for r in frame.itertuples(index=False):
         kind = np.uint16 if r.wide == 2 else np.uint32
@@ -127,10 +128,22 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
     least = np.repeat(np.minimum.reduceat(name, starts), np.diff(np.append(starts, len(h)))) if len(h) else name
     gone = late | (name > least)
     h, name, key = h[gone], name[gone], key[gone]
+    group = (mix(name.view(np.uint64) ^ key.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    h, name, key, group = h[order], name[order], key[order], group[order]
+    some, cut = np.unique(group, return_index=True)
+    parts = [slice(x, y) for x, y in zip(cut, np.append(cut[1:], len(h)))]
+    return pd.DataFrame({"to": some, "ids": [_squeeze(name[p]) for p in parts], "keys": [_squeeze(key[p]) for p in parts], "hashes": [_squeeze(h[p]) for p in parts]})
+
+
+def _per_document(frame: pd.DataFrame) -> pd.DataFrame:
+    """The answers to a group of documents, one row per document."""
+    name, key = (np.concatenate([_unsqueeze(x, np.int64) for x in frame[c]]) for c in ("ids", "keys"))
+    h = np.concatenate([_unsqueeze(x, np.uint64) for x in frame["hashes"]])
     order = np.lexsort((key, name))
     h, name, key = h[order], name[order], key[order]
-    cut = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])])) if len(h) else np.zeros(0, int)
-    return pd.DataFrame({"_id": name[cut], "_key": key[cut], "gone": [x.tobytes() for x in np.split(h, cut[1:])] if len(h) else []})
+    cut = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])]))
+    return pd.DataFrame({"__llm_id": name[cut], "__llm_key": key[cut], "__llm_gone": [x.tobytes() for x in np.split(h, cut[1:])]})
 
 
 def remove_repeated_windows(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,8 +154,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, doc_id: str = "doc
     buckets = partitions_for(spark, total_text_bytes(docs, text), REDUCER_BYTES)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("_k"))
     sent = keyed.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).mapInPandas(_window_blobs(width, buckets), _BLOBS)
-    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answers, "_id long, _key long, gone binary")
-    per_doc = answers.groupBy(F.col("_id").alias("__llm_id"), F.col("_key").alias("__llm_key")).agg(F.collect_list("gone").alias("__llm_gone"))
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda f: _answers(f, buckets), "to long, ids binary, keys binary, hashes binary")
+    per_doc = answers.groupBy("to").applyInPandas(_per_document, "__llm_id long, __llm_key long, __llm_gone binary")
     joined = docs.withColumns({"__llm_id": F.col(doc_id).cast("long"), "__llm_key": text_key(text)}).join(per_doc, ["__llm_id", "__llm_key"], "left")
 
     @F.pandas_udf("n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept_text string")
@@ -155,8 +168,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, doc_id: str = "doc
             for i, (t, lists) in enumerate(zip(part["text"], part["gone"])):
                 n = int(offsets[i + 1] - offsets[i])
                 covered = np.zeros(n + 1, np.int64)
-                if lists is not None and len(lists):
-                    hit = np.flatnonzero(np.isin(windows[at[i] : at[i + 1]], np.concatenate([np.frombuffer(x, np.uint64) for x in lists])))
+                if lists is not None:
+                    hit = np.flatnonzero(np.isin(windows[at[i] : at[i + 1]], np.frombuffer(lists, np.uint64)))
                     np.add.at(covered, hit, 1)
                     np.add.at(covered, hit + width, -1)
                 mask = np.cumsum(covered[:n]) > 0
