@@ -75,7 +75,7 @@ def gram_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nda
 
 def _sequence_hash(words: np.ndarray, seed: int) -> int:
     power = np.cumprod(np.full(len(words) + 1, 0xD1342543DE82EF95 + 2 * seed, np.uint64), dtype=np.uint64)
-    return int(mix(np.array([np.sum(words * power[1:], dtype=np.uint64) + power[-1] * np.uint64(seed + 1)], np.uint64))[0])
+    return int(mix(np.sum(words * power[1:], dtype=np.uint64, keepdims=True) + power[-1:] * np.uint64(seed + 1))[0])
 
 
 def _signatures(width: int, bands: int, rows: int):

@@ -1,8 +1,10 @@
 """Exact top-k inner products by a dual-tree search of cover trees.
 
 Vectors are dealt into blocks; each block becomes a cover tree: a node has one
-of its points as centre, a covering radius, and children whose radii are
-smaller by ``BASE`` at least. Queries are taken a block at a time, form a tree
+of its points as centre, a covering radius, and children around a net of its
+points, taken farthest first until their radii are smaller by ``BASE`` or there
+are ``FANOUT`` of them (in many dimensions a finer net is nearly all points).
+Queries are taken a block at a time, form a tree
 of their own and meet every block of the index: a pair of nodes is skipped if
 no inner product of a query below the one and a vector below the other can
 reach the worst kth score found so far for the queries below the first,
@@ -16,7 +18,7 @@ Cases: a vector that is null or holds a null or non-finite component takes no
 part; a shorter vector counts as padded with zeros; equal scores rank by
 smaller id; a row's own id is never its candidate; repeated rows are candidates
 of their own but one query; a null id takes no part; fewer candidates than k
-give all of them; an empty table gives an empty result. Other columns are not
+give all of them; a score must fit a long; an empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -35,7 +37,8 @@ from geomart.session import scratch_path
 
 BLOCK = 4096
 QUERY_BLOCK = 1024
-LEAF = 48
+LEAF = 128
+FANOUT = 16
 BASE = 1.3
 _EXACT = float(1 << 53)
 
@@ -77,7 +80,7 @@ class CoverTree:
             # centre before become centres; every point joins its nearest one.
             near = self._distances(members, self.centre[node])
             centres, owner = [self.centre[node]], np.zeros(len(members), np.int64)
-            while near.max() > radius / BASE:
+            while near.max() > radius / BASE and len(centres) < FANOUT:
                 centres.append(int(members[near.argmax()]))
                 d = self._distances(members, centres[-1])
                 closer = d < near
@@ -126,11 +129,23 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, tree: CoverTree, ids:
 
 def _meet(queries: CoverTree, mine: np.ndarray, query_ids: np.ndarray, tree: CoverTree, theirs: np.ndarray, ids: np.ndarray, best: np.ndarray, names: np.ndarray, k: int) -> None:
     score = queries.points[mine] @ tree.points[theirs].T
-    name = np.broadcast_to(ids[theirs], score.shape)
-    score = np.where(name == query_ids[mine][:, None], -np.inf, score)
-    score, name = np.hstack([best[mine], score]), np.hstack([names[mine], name])
-    pick = np.lexsort((name, -score), axis=1)[:, :k]
-    best[mine], names[mine] = np.take_along_axis(score, pick, 1), np.take_along_axis(name, pick, 1)
+    score[ids[theirs][None, :] == query_ids[mine][:, None]] = -np.inf
+    least = best[mine, k - 1]
+    if score.shape[1] > k:  # what is under the k-th best here is not among the k best
+        least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+    row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    if not len(row):
+        return
+    changed = np.unique(row)
+    row = np.concatenate([np.repeat(changed, k), row])
+    name = np.concatenate([names[mine[changed]].ravel(), ids[theirs[col]]])
+    value = np.concatenate([best[mine[changed]].ravel(), score[row[len(changed) * k :], col]])
+    order = np.lexsort((name, -value, row))
+    row, name, value = row[order], name[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    best[mine[row[kept]], place[kept]] = value[kept]
+    names[mine[row[kept]], place[kept]] = name[kept]
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -155,7 +170,6 @@ def _search_block(queries: list[tuple[int, list[float]]], k: int):
                 if width * np.abs(q).max(initial=0) * np.abs(r).max(initial=0) >= _EXACT:
                     yield _plain(ids, q, theirs, r, k)
                     continue
-                # Within a leaf equal vectors stand by id, so the order of ids breaks ties only in _meet.
                 best, found = dual_search(CoverTree(q), ids, CoverTree(r), theirs, k)
                 some = np.isfinite(best)
                 yield pd.DataFrame({"query_id": np.repeat(ids, some.sum(1)), "key": np.repeat(np.arange(len(ids)), some.sum(1)), "vec_id": found[some], "score": best[some].astype(np.int64)})
@@ -199,7 +213,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, block: int = BLOCK,
     spark = candidates.sparkSession
     blocks = max(1, -(-candidates.count() // block))
     dealt = candidates.withColumn("_b", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)))
-    index = materialise(dealt.groupBy("_b").applyInPandas(lambda f: _block_rows(f), "ids binary, points binary, lengths binary"), "blocks")
+    index = materialise(dealt.repartition(blocks, "_b").groupBy("_b").applyInPandas(_block_rows, "ids binary, points binary, lengths binary"), "blocks")
     asked = queries.distinct()
     query_blocks = max(1, -(-asked.count() // query_block))
     asked = materialise(asked.withColumn("_b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks))).repartition("_b"), "queries")
