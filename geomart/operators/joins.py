@@ -1,34 +1,8 @@
-"""Join helpers.
-
-Broadcasting is decided from a measured size: ``join_small`` counts the
-candidate side up to a row cap and only then hints a broadcast; beyond the
-cap it falls back to a shuffle join (which adaptive execution may still
-turn into a broadcast from runtime statistics).
-"""
+"""Join helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: Column | str | list,
-    how: str = "inner",
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join with ``small`` broadcast only when its size is checked to be bounded."""
-    side = F.broadcast(small) if is_small(small, max_rows) else small
-    return big.join(side, on, how)
+from pyspark.sql import DataFrame
 
 
 def left_join_drop_key(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -18,7 +18,7 @@ def top_k_per_group(
     within ``salt_buckets`` hash slices of each group, then the top k of
     those (at most ``k * salt_buckets`` rows per group).
     """
-    salt = F.abs(F.hash(F.col(salt_on))) % salt_buckets if salt_on else F.lit(0)
+    salt = F.pmod(F.hash(F.col(salt_on)), F.lit(salt_buckets)) if salt_on else F.lit(0)
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     w2 = Window.partitionBy(*keys).orderBy(*order)
     stage1 = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= k)

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from geomart.session import ensure_checkpoint_dir
 
 
-def _prepare_edges(edges: DataFrame, cap_minutes: int, src: str, dst: str, weight: str) -> DataFrame:
+def _prepare_edges(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame:
     # The edge set is joined every round: materialise it once (reliable
-    # checkpoint) instead of re-deriving it from its sources per round.
-    return (
-        edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(weight).alias("_w"))
-        .filter(F.col("_w") <= cap_minutes)
-        .checkpoint()
-    )
+    # checkpoint) instead of re-deriving it from its sources per round. Edges
+    # over the cap stay, for their nodes reach themselves; no path takes them.
+    return edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(weight).alias("_w")).checkpoint()
 
 
 def _nodes(e: DataFrame) -> DataFrame:
@@ -44,112 +41,38 @@ def _bucketed(minutes: DataFrame, bucket: int) -> DataFrame:
 def travel_time_matrix(
     edges: DataFrame,
     cap_minutes: int = 90,
-    max_legs: int = 8,
     bucket: int = 5,
-    checkpoint_every: int = 2,
     src: str = "src",
     dst: str = "dst",
     weight: str = "minutes",
-    strategy: str = "auto",
-    label_buckets: int | None = None,
-    small_graph_nodes: int = 2_000,
 ) -> DataFrame:
-    """Shortest travel time between all node pairs reachable within the cap
-    using at most ``max_legs`` edges; ``(origin, destination, travel_minutes)``.
-
-    Bounded min-plus relaxation as DataFrame joins: each round joins only the
-    labels improved in the previous round (the frontier) with the edges on
-    the node, keeps the minimum per (origin, node), and stops after
-    ``max_legs`` rounds or when nothing improves. The cap is applied before
-    bucketing to the nearest ``bucket`` minutes (half-even); every origin has
-    a 0-minute row for itself.
-
-    ``strategy="bucketed"`` keeps the labels as an append-only table
-    bucketed on ``(origin, node)`` in the shared checkpoint folder: the
-    current best label per key is read bucket-local (no shuffle of the label
-    set), each round appends only its improvements, bucket-aligned, and the
-    table is also the lineage cut. ``strategy="checkpoint"`` rebuilds the
-    label set each round (one shuffle of it) and cuts lineage with reliable
-    checkpoints; its fixed cost per round is lower. ``strategy="auto"``
-    counts the nodes (at most ``small_graph_nodes + 1`` are read) and picks
-    ``checkpoint`` for small graphs, ``bucketed`` otherwise.
+    """Shortest travel time between all node pairs reachable within the cap;
+    ``(origin, destination, travel_minutes)``.
+
+    Min-plus relaxation as DataFrame joins: each round joins only the labels
+    improved in the previous round (the frontier) with the edges on the node
+    and keeps the minimum per (origin, node), until nothing improves. Edge
+    minutes are not negative, so the cap bounds the rounds. The cap is applied
+    before bucketing to the nearest ``bucket`` minutes (half-even); every node
+    of an edge has a 0-minute row for itself. Labels and frontier are
+    checkpointed each round: a lost executor recomputes one round at most.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = _prepare_edges(edges, cap_minutes, src, dst, weight)
-    nodes = _nodes(e)
-    if strategy == "auto":
-        small = nodes.limit(small_graph_nodes + 1).count() <= small_graph_nodes
-        strategy = "checkpoint" if small else "bucketed"
-    if strategy == "checkpoint":
-        return _bucketed(_matrix_by_checkpoint(spark, e, nodes, cap_minutes, max_legs, checkpoint_every), bucket)
-    if strategy != "bucketed":
-        raise ValueError(f"unknown strategy {strategy}")
-    return _bucketed(_matrix_by_bucketed_log(spark, e, nodes, cap_minutes, max_legs, label_buckets), bucket)
-
-
-def _matrix_by_bucketed_log(spark, e, nodes, cap_minutes, max_legs, label_buckets):
-    import uuid
-
-    from pyspark.sql import Observation
-
-    from geomart.session import scratch_path
-
-    n = label_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"geomart_labels_{uuid.uuid4().hex}"
-    keys = ["origin", "node"]
-
-    def append(df: DataFrame, mode: str) -> DataFrame:
-        w = df.write.bucketBy(n, *keys).mode(mode)
-        if mode == "overwrite":
-            w = w.option("path", scratch_path(spark, "matrix_labels"))
-        w.saveAsTable(table)
-        return df
-
-    init = nodes.select(F.col("node").alias("origin"), "node", F.lit(0).cast("bigint").alias("minutes"), F.lit(0).alias("leg"))
-    append(init.repartition(n, *keys), "overwrite")
-    for leg in range(1, max_legs + 1):
-        log = spark.table(table)
-        frontier = log.filter(F.col("leg") == leg - 1).select(*keys, "minutes")
-        best = log.groupBy(*keys).agg(F.min("minutes").alias("_old"))  # bucket-local
-        improved = (
-            _relax(frontier, e, cap_minutes)
-            .join(best, keys, "left")
-            .filter(F.col("_old").isNull() | (F.col("minutes") < F.col("_old")))
-            .select(*keys, "minutes", F.lit(leg).alias("leg"))
-        )
-        obs = Observation(f"leg{leg}")
-        append(improved.observe(obs, F.count(F.lit(1)).alias("rows")), "append")
-        if obs.get["rows"] == 0:
-            break
-    result = spark.table(table).groupBy(*keys).agg(F.min("minutes").alias("minutes")).checkpoint()
-    # External table: dropping it only unregisters the name; the label files
-    # stay in the shared scratch folder.
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return result
-
-
-def _matrix_by_checkpoint(spark, e, nodes, cap_minutes, max_legs, checkpoint_every):
-    labels = nodes.select(F.col("node").alias("origin"), "node", F.lit(0).cast("bigint").alias("minutes"))
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = _prepare_edges(edges, src, dst, weight)
+    labels = _nodes(e).select(F.col("node").alias("origin"), "node", F.lit(0).cast("bigint").alias("minutes")).checkpoint()
     frontier = labels
-    for leg in range(1, max_legs + 1):
-        improved = (
+    while True:
+        frontier = (
             _relax(frontier, e, cap_minutes)
             .join(labels.withColumnRenamed("minutes", "_old"), ["origin", "node"], "left")
             .filter(F.col("_old").isNull() | (F.col("minutes") < F.col("_old")))
             .select("origin", "node", "minutes")
             .checkpoint()
         )
-        if improved.isEmpty():
-            break
-        labels = (
-            labels.join(improved.withColumnRenamed("minutes", "_new"), ["origin", "node"], "full")
-            .select("origin", "node", F.coalesce("_new", "minutes").alias("minutes"))
-        )
-        if leg % checkpoint_every == 0:
-            labels = labels.checkpoint()
-        frontier = improved
-    return labels
+        if frontier.isEmpty():
+            return _bucketed(labels, bucket)
+        better = frontier.withColumnRenamed("minutes", "_new")
+        labels = labels.join(better, ["origin", "node"], "full").select("origin", "node", F.coalesce("_new", "minutes").alias("minutes")).checkpoint()
 
 
 def reachable_from(

@@ -3,11 +3,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomart.session import ensure_checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
 
@@ -16,17 +19,20 @@ def exact_ntile(
 ) -> DataFrame:
     """``NTILE(n) OVER (ORDER BY order_by)`` without a single-partition window.
 
-    Rows are range-partitioned on the full (unique) ordering key and sorted
-    inside each partition; per-partition row counts (one row per partition,
-    a bounded table) give each partition's global offset, which makes the
-    exact global row number and the bucket. The first ``N % n`` buckets get
-    one extra row, as NTILE does. ``order_by`` must be a total order (end it
-    with a unique key).
+    The ordering key alone is range-partitioned, sorted and checkpointed, so
+    every later use sees the same partitions; per-partition row counts (one
+    row per partition, a bounded table) give each partition's global offset,
+    which makes the exact global row number and the bucket. The bucket joins
+    back on the key. The first ``N % n`` buckets get one extra row, as NTILE
+    does. ``order_by`` must be a total order (end it with a unique key).
     """
+    ensure_checkpoint_dir(df.sparkSession)
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
-    ided = ranged.withColumn("_mid", F.monotonically_increasing_id()).select(
-        "*",
+    keys = [f"_key{i}" for i in range(len(order_by))]
+    narrow = df.select(*[F.col(c).alias(k) for c, k in zip(order_by, keys)])
+    ranged = narrow.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ided = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint().select(
+        *keys,
         F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
         F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1).alias("_local"),
     )
@@ -43,11 +49,9 @@ def exact_ntile(
     r = F.col("_total") % n
     big = r * (q + 1)
     bucket = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1).otherwise(r + F.floor((rn - 1 - big) / q) + 1)
-    return (
-        ided.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, bucket.cast("int"))
-        .drop("_mid", "_pid", "_local", "_offset", "_total")
-    )
+    ranks = ided.join(F.broadcast(offsets), "_pid").select(*keys, bucket.cast("int").alias(out))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order_by, keys)]
+    return df.join(ranks, functools.reduce(Column.__and__, same)).drop(*keys)
 
 
 # Hazard levels -----------------------------------------------------------------

@@ -416,35 +416,27 @@ def service_day_expand(spark, sf):
 
 # ---- travel-time matrix and reach ------------------------------------------------------
 
-MAX_LEGS = 8
 CAP = 90
 
 
-def _matrix_sql(legs: int = MAX_LEGS, cap: int = CAP) -> str:
-    parts = [
+def _matrix_sql(cap: int = CAP) -> str:
+    return ",\n".join([
         V.EDGE_SQL,
         "nodes AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge)",
-        f"edge0 AS MATERIALIZED (SELECT src, dst, minutes FROM edge WHERE minutes <= {cap} UNION ALL SELECT node, node, 0 FROM nodes)",
-        "r0 AS (SELECT node AS origin, node, CAST(0 AS BIGINT) AS minutes FROM nodes)",
-    ]
-    for k in range(1, legs + 1):
-        parts.append(
-            f"r{k} AS (SELECT r.origin, e.dst AS node, min(r.minutes + e.minutes) AS minutes "
-            f"FROM r{k - 1} r JOIN edge0 e ON r.node = e.src WHERE r.minutes + e.minutes <= {cap} GROUP BY 1, 2)"
-        )
-    parts.append(
-        f"m AS (SELECT origin, node AS destination, CAST(round_even(minutes / 5.0, 0) * 5 AS BIGINT) AS travel_minutes FROM r{legs})"
-    )
-    return ",\n".join(parts)
+        f"walk AS (SELECT node AS origin, node, CAST(0 AS BIGINT) AS minutes FROM nodes UNION "
+        f"SELECT r.origin, e.dst, r.minutes + e.minutes FROM walk r JOIN edge e ON r.node = e.src WHERE r.minutes + e.minutes <= {cap})",
+        "best AS (SELECT origin, node, min(minutes) AS minutes FROM walk GROUP BY 1, 2)",
+        "m AS (SELECT origin, node AS destination, CAST(round_even(minutes / 5.0, 0) * 5 AS BIGINT) AS travel_minutes FROM best)",
+    ])
 
 
 def matrix(spark, sf):
-    return reach.travel_time_matrix(V.edge(spark, sf), cap_minutes=CAP, max_legs=MAX_LEGS)
+    return reach.travel_time_matrix(V.edge(spark, sf), cap_minutes=CAP)
 
 
-@register("travel_time_matrix", "WITH " + _matrix_sql() + "\nSELECT origin, destination, travel_minutes FROM m")
+@register("travel_time_matrix", "WITH RECURSIVE " + _matrix_sql() + "\nSELECT origin, destination, travel_minutes FROM m")
 def travel_time_matrix(spark, sf):
-    """All-pairs travel minutes within 90 over at most 8 legs, bucketed to 5."""
+    """All-pairs travel minutes within 90, bucketed to 5."""
     return matrix(spark, sf)
 
 
@@ -470,7 +462,7 @@ def reachable(spark, sf, max_minutes: int = 45):
 
 @register(
     "reachable_areas",
-    "WITH " + _matrix_sql() + ",\n" + V.AREA_SQL + _REACH_SQL + "\nSELECT * FROM reach",
+    "WITH RECURSIVE " + _matrix_sql() + ",\n" + V.AREA_SQL + _REACH_SQL + "\nSELECT * FROM reach",
 )
 def reachable_areas(spark, sf):
     """Areas reachable within 45 minutes from any cell of each region's areas,
@@ -480,7 +472,7 @@ def reachable_areas(spark, sf):
 
 @register(
     "constraint_shortlist",
-    "WITH " + _matrix_sql() + ",\n" + V.AREA_SQL + _REACH_SQL + ",\n" + HAZARD_LOOKUP_SQL
+    "WITH RECURSIVE " + _matrix_sql() + ",\n" + V.AREA_SQL + _REACH_SQL + ",\n" + HAZARD_LOOKUP_SQL
     + """,
 shortlist AS (
   SELECT r.origin_region, r.area_id, r.area_name, a.weekly_rent,

@@ -512,12 +512,12 @@ def left_join_multikey(spark, sf):
 ON s.s_nationkey = g.n_nationkey""",
 )
 def broadcast_registry_join(spark, sf):
-    """Left join to a small registry, broadcast only after its size is checked."""
+    """Left join to a small registry; adaptive execution broadcasts it by its size."""
     s = read_table(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey")
     n = read_table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf, "region", "r_regionkey", "r_name")
     registry = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    out = joins.join_small(s, registry, s.s_nationkey == registry.n_nationkey, "left")
+    out = s.join(registry, s.s_nationkey == registry.n_nationkey, "left")
     return out.select("s_suppkey", "s_name", "n_name", "r_name")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ DEFAULT_CONF = {
 }
 
 # Only meaningful when this process starts the JVM (local runs, tests, bench).
-LOCAL_CONF = {"spark.driver.memory": "16g"}
+LOCAL_CONF = {"spark.driver.memory": "10g"}
 
 
 def build_session(
@@ -54,13 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system; it is only filled
-    in here when it is unset (local tests), never overridden.
+    in here when it is unset on a local master (tests), never overridden; a
+    cluster without it has no folder that all executors see.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not base:
+        if not re.match(r"local(\[[^]]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "geomart-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:

@@ -109,19 +109,14 @@ def bronze_tables(
     return {e: make(e, s) for e, s in entities.items()}
 
 
-def infer_landing_schema(
-    spark: SparkSession, fmt: str, path: str, sampling_ratio: float | None = None
-) -> StructType:
+def infer_landing_schema(spark: SparkSession, fmt: str, path: str) -> StructType:
     """Column types inferred from the landed files (S3).
 
     File streams need a schema up front; inferring it with a batch read at
     the start of each run, and widening the sink with new columns, gives the
-    additive evolution a hosted incremental loader provides. For large
-    landings pass ``sampling_ratio`` (a row sample; a column present only in
-    unsampled rows appears once a later run samples it)."""
+    additive evolution a hosted incremental loader provides. All rows are
+    read: a column of unread rows would be lost."""
     reader = spark.read.format(fmt).option("recursiveFileLookup", "true")
-    if sampling_ratio is not None:
-        reader = reader.option("samplingRatio", str(sampling_ratio))
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "true")
     return reader.load(path).schema

@@ -142,22 +142,14 @@ def test_exact_ntile_with_a_hot_value(spark):
     assert mine == ref
 
 
-def test_join_small_checks_size_before_broadcast(spark):
-    from geomart.operators import joins
-
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        under = joins.join_small(big, small, "k", max_rows=100)
-        over = joins.join_small(big, small, "k", max_rows=5)
-        assert "BroadcastHashJoin" in under._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in over._jdf.queryExecution().executedPlan().toString()
-        assert under.count() == over.count() == 10
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_exact_ntile_with_payload_over_many_rows(spark, tmp_path):
+    df = spark.range(150_000).select((F.col("id") * 7919 % 150_000).alias("id"), (F.hash("id") % 1000).alias("income"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    path = str(tmp_path / "ntile")
+    score.exact_ntile(df, 10, ["income", "id"], out="d", partitions=7).write.parquet(path)
+    ref = df.select("id", F.ntile(10).over(Window.orderBy("income", "id")).alias("want"))
+    got = spark.read.parquet(path)
+    assert got.columns == ["id", "income", "payload", "d"] and got.count() == 150_000
+    assert got.join(ref, "id").filter("d <> want").count() == 0
 
 
 def test_expectations_observed_in_same_pass(spark):

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from geomart.plans import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,15 +33,16 @@ def duck(sf_small):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, sf_small, name):
-    sdf = E.queries()[name](spark, sf_small)
+    sdf = QUERIES[name](spark, sf_small)
     cols = sorted(sdf.columns)
     got = sorted(tuple(_norm(r[c]) for c in cols) for r in (x.asDict(recursive=True) for x in sdf.collect()))
-    cur = duck.execute(E.oracle_sql()[name])
+    cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == cols
     want = sorted(tuple(_norm(dict(zip(dcols, r))[c]) for c in cols) for r in cur.fetchall())

@@ -25,7 +25,7 @@ def test_feature_collection_shapes(spark):
 def test_matrix_against_brute_force(spark):
     edges = [(0, 1, 30), (1, 2, 30), (2, 3, 40), (0, 3, 95), (3, 0, 7), (1, 0, 2)]
     df = spark.createDataFrame(edges, "src int, dst int, minutes bigint")
-    got = {(r.origin, r.destination): r.travel_minutes for r in reach.travel_time_matrix(df, 90, 8).collect()}
+    got = {(r.origin, r.destination): r.travel_minutes for r in reach.travel_time_matrix(df, 90).collect()}
     nodes = {0, 1, 2, 3}
     inf = float("inf")
     d = {(a, b): (0 if a == b else inf) for a in nodes for b in nodes}
@@ -173,17 +173,7 @@ def test_hash_skip_transitions(spark):
     assert got == {1: "succeeded", 2: "skipped", 3: "failed", 4: "skipped", 5: "succeeded", 6: "succeeded"}
 
 
-def test_matrix_strategies_agree(spark):
-    rows = [(a, b, 1 + (a * 7 + b * 3) % 40) for a in range(9) for b in range(9) if a != b and (a + b) % 3 != 0]
-    df = spark.createDataFrame(rows, "src int, dst int, minutes bigint")
-    one = {tuple(r) for r in reach.travel_time_matrix(df, 90, 8, strategy="bucketed").collect()}
-    two = {tuple(r) for r in reach.travel_time_matrix(df, 90, 8, strategy="checkpoint").collect()}
-    assert one == two and len(one) > 9
-
-
-def test_matrix_auto_strategy_switches(spark):
-    rows = [(a, b, 1 + (a * 5 + b) % 30) for a in range(12) for b in range(12) if a != b and (a * b) % 4 == 1]
-    df = spark.createDataFrame(rows, "src int, dst int, minutes bigint")
-    small = {tuple(r) for r in reach.travel_time_matrix(df, strategy="auto").collect()}
-    large = {tuple(r) for r in reach.travel_time_matrix(df, strategy="auto", small_graph_nodes=3).collect()}
-    assert small == large
+def test_matrix_follows_long_chains_and_keeps_far_nodes(spark):
+    df = spark.createDataFrame([(i, i + 1, 1) for i in range(20)] + [(50, 51, 200)], "src int, dst int, minutes bigint")
+    got = {(r.origin, r.destination) for r in reach.travel_time_matrix(df, 90, bucket=1).collect()}
+    assert got == {(a, b) for a in range(21) for b in range(a, 21)} | {(50, 50), (51, 51)}
