@@ -129,16 +129,24 @@ def _answers(frame: pd.DataFrame, groups: int) -> pd.DataFrame:
     gone = late | (name > least)
     h, name, key = h[gone], name[gone], key[gone]
     group = (mix(name.view(np.uint64) ^ key.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
+    order = np.lexsort((h, key, name, group))
     h, name, key, group = h[order], name[order], key[order], group[order]
-    some, cut = np.unique(group, return_index=True)
-    parts = [slice(x, y) for x, y in zip(cut, np.append(cut[1:], len(h)))]
-    return pd.DataFrame({"to": some, "ids": [_squeeze(name[p]) for p in parts], "keys": [_squeeze(key[p]) for p in parts], "hashes": [_squeeze(h[p]) for p in parts]})
+    if not len(h):
+        return pd.DataFrame({"to": [], "ids": [], "keys": [], "counts": [], "hashes": []})
+    docs = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])]))
+    counts = np.diff(np.append(docs, len(h)))
+    some, cut = np.unique(group[docs], return_index=True)
+    rows = []
+    for g, x, y in zip(some.tolist(), cut.tolist(), [*cut[1:].tolist(), len(docs)]):
+        d, last = docs[x:y], docs[y - 1] + counts[y - 1]
+        rows.append((g, _squeeze(name[d]), _squeeze(key[d]), _squeeze(counts[x:y]), _squeeze(h[d[0] : last])))
+    return pd.DataFrame(rows, columns=["to", "ids", "keys", "counts", "hashes"])
 
 
 def _per_document(frame: pd.DataFrame) -> pd.DataFrame:
     """The answers to a group of documents, one row per document."""
-    name, key = (np.concatenate([_unsqueeze(x, np.int64) for x in frame[c]]) for c in ("ids", "keys"))
+    name, key, count = (np.concatenate([_unsqueeze(x, np.int64) for x in frame[c]]) for c in ("ids", "keys", "counts"))
+    name, key = np.repeat(name, count), np.repeat(key, count)
     h = np.concatenate([_unsqueeze(x, np.uint64) for x in frame["hashes"]])
     order = np.lexsort((key, name))
     h, name, key = h[order], name[order], key[order]
@@ -154,7 +162,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, doc_id: str = "doc
     buckets = partitions_for(spark, total_text_bytes(docs, text), REDUCER_BYTES)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("_k"))
     sent = keyed.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).mapInPandas(_window_blobs(width, buckets), _BLOBS)
-    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda f: _answers(f, buckets), "to long, ids binary, keys binary, hashes binary")
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda f: _answers(f, buckets), "to long, ids binary, keys binary, counts binary, hashes binary")
     per_doc = answers.groupBy("to").applyInPandas(_per_document, "__llm_id long, __llm_key long, __llm_gone binary")
     joined = docs.withColumns({"__llm_id": F.col(doc_id).cast("long"), "__llm_key": text_key(text)}).join(per_doc, ["__llm_id", "__llm_key"], "left")
 
