@@ -14,6 +14,7 @@ import os
 import re
 import struct
 from collections.abc import Sequence
+from operator import add
 
 import numpy as np
 
@@ -23,10 +24,13 @@ REMEMBERED = 600_000
 
 #: White space other than space and line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Latin letters up to the end or to ASCII that is no letter.
-_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\\x21-\\x40\\x5b-\\x60\\x7b-\\x7e\\n]|\\Z)")
+#: Latin letters up to the end or to ASCII that is no letter; without U+0130,
+#: which a tokenizer that lowers case takes apart.
+_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+(?=[\\x21-\\x40\\x5b-\\x60\\x7b-\\x7e\\n]|\\Z)")
 #: Letter runs that are encoded in one go.
 _TOGETHER = 4000
+#: How the tokenizer files write the space before a word and the end of a word.
+_SPACE, _WORD_END = "\u0120", "</w>"
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -44,38 +48,68 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces: dict[str, bytes] = {}  # without the space before them
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
         self.rests: dict[str, bytes] = {"": b""}
         (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
+        # Tokens that begin a word with its space, or that end a word.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(1 + max(vocab.values()), bool)
+        self.closes = self.begins.copy()
+        self.begins[[i for token, i in vocab.items() if token[0] == _SPACE]] = True
+        self.closes[[i for token, i in vocab.items() if token.endswith(_WORD_END)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of letter runs that follow a space: many with a bar after each,
-        which is a token of its own that no letter run has."""
+        """Ids of letter runs that follow a space, many in one go.
+
+        Each run has at least one token that begins a word, or one that ends
+        a word, if the tokenizer marks them; as many such tokens as runs
+        therefore tell where each run's ids are. Other runs are encoded with a
+        bar after each, a token of its own that no letter run has."""
         out: list[bytes] = []
         for i in range(0, len(runs), _TOGETHER):
             some = runs[i : i + _TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "| ".join(some) + "|"], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.bar)
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer does not keep letters and bars apart")
+            ids = self._ids(" " + " ".join(some))
+            starts, ends = np.flatnonzero(self.begins[ids]), np.flatnonzero(self.closes[ids]) + 1
+            if len(starts) == len(some) and starts[0] == 0:
+                ends = np.append(starts[1:], len(ids))
+            elif len(ends) == len(some) and ends[-1] == len(ids):
+                starts = np.append([0], ends[:-1])
+            else:
+                ids = self._ids(" " + "| ".join(some) + "|")
+                ends = np.flatnonzero(ids == self.bar)
+                starts = np.append([0], ends[:-1] + 1)
+                if len(ends) != len(some):
+                    raise ValueError("the tokenizer does not keep letters and bars apart")
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist())]
+            out += [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
         return out
 
     def _learn(self, pieces: list[str]) -> None:
         """Remember the ids of pieces that follow a space."""
-        found = [_RUN.match(p) for p in pieces]
-        runs = list({m[0] for m in found if m}.difference(self.runs))
+        heads, rest = [], []
+        match = _RUN.match
+        for p in pieces:
+            # What follows a run is encoded as it stands, what has none after its space.
+            m = match(p)
+            if m:
+                head = m[0]
+                heads.append(head)
+                rest.append(p[len(head) :])
+            else:
+                heads.append("")
+                rest.append(" " + p)
+        runs = list(set(heads).difference(self.runs))
         self.runs.update(zip(runs, self._encode_runs(runs)))
-        # What follows a run is encoded as it stands, what has none after its space.
-        rest = [p[m.end() :] if m else " " + p for p, m in zip(pieces, found)]
-        new = list(set(rest).difference(self.rests, [""]))
+        new = list(set(rest).difference(self.rests))
         self.rests.update(zip(new, self._encode(new)))
-        self.pieces.update((p, (self.runs[m[0]] if m else b"") + self.rests[r]) for p, m, r in zip(pieces, found, rest))
+        self.pieces.update(zip(pieces, map(add, map(self.runs.__getitem__, heads), map(self.rests.__getitem__, rest))))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null
@@ -83,7 +117,7 @@ class PieceEncoder:
         for known in (self.pieces, self.runs, self.rests):
             if len(known) > REMEMBERED:
                 known.clear()
-                self.rests[""] = b""
+        self.runs[""] = self.rests[""] = b""
         cut = [t.split(" ") if t and _single_spaced(t) else [t or ""] for t in texts]
         first = self._encode([parts[0] for parts in cut])
         new: set[str] = set()

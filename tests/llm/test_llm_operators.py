@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,10 +39,11 @@ def none(spark):
 
 
 def _texts():
-    return st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab é\n\t.'s|1²Ж́ "), max_size=40)), max_size=8)
+    return st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab éİ\n\t.'s|1²Ж́ "), max_size=40)), max_size=8)
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=60, deadline=None)
+@example(["é İ", "a İx, b İ. c|d", "a b c d"])
 @given(_texts())
 def test_remembered_pieces_give_the_ids_of_whole_texts(texts):
     for path in (BYTE, WORD):
