@@ -61,7 +61,7 @@ def allocate(
 def rollup(df: DataFrame, keys: Sequence[str], sum_col: str, max_col: str) -> DataFrame:
     """Grouped SUM + MAX at the given grain (G1)."""
     return df.groupBy(*keys).agg(
-        F.round(F.sum(sum_col), 2).alias(f"total_{sum_col}"), F.max(max_col).alias(f"max_{max_col}")
+        F.sum(sum_col).alias(f"total_{sum_col}"), F.max(max_col).alias(f"max_{max_col}")
     )
 
 

@@ -49,19 +49,19 @@ def share_of_total(spark, sf):
     "weighted_allocation",
     V.with_ctes(_PAIRS_SQL)
     + f""",
-sh AS (SELECT l_suppkey, p_brand, n_overlap / sum(n_overlap) OVER (PARTITION BY l_suppkey) AS share FROM pairs),
+sh AS (SELECT l_suppkey, p_brand, {sround("n_overlap / sum(n_overlap) OVER (PARTITION BY l_suppkey)", 6)} AS share FROM pairs),
 tot AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS total FROM lineitem GROUP BY 1, 2),
 al AS (SELECT p_brand, year, CAST({sround('sum(total * share)', 0)} AS BIGINT) AS allocated
        FROM tot JOIN sh ON tot.l_suppkey = sh.l_suppkey GROUP BY 1, 2)
 SELECT p_brand, year, allocated FROM al WHERE allocated > 0""",
 )
 def weighted_allocation(spark, sf):
-    """Annual unit totals x unit share, summed per area and year, rounded
+    """Annual unit totals x stored unit share (6 places), summed per area and year, rounded
     after the sum, > 0 kept (A2, J4, G2)."""
     shares = B.overlap_shares(_pairs(spark, sf), "l_suppkey", "p_brand")
     li = read_table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_quantity")
     totals = li.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("total"))
-    return B.allocate(totals, shares, "l_suppkey", "p_brand", "year", "total", "unit_share_raw")
+    return B.allocate(totals, shares, "l_suppkey", "p_brand", "year", "total", "unit_share")
 
 
 @register(
@@ -81,7 +81,8 @@ def rollup_monthly(spark, sf):
         "s_nationkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice",
     )
     keys = ["ship_year", "ship_month", "s_nationkey", "l_returnflag", "l_linestatus", "l_linenumber"]
-    return B.rollup(j, keys, "l_quantity", "l_extendedprice")
+    out = B.rollup(j, keys, "l_quantity", "l_extendedprice")
+    return out.withColumn("total_l_quantity", F.round("total_l_quantity", 2))
 
 
 # ---- hazard mart --------------------------------------------------------------------
@@ -400,18 +401,25 @@ _ISO = {1: "monday", 2: "tuesday", 3: "wednesday", 4: "thursday", 5: "friday", 6
     "service_day_expand",
     V.with_ctes(V.CAL_SQL, V.CALX_SQL)
     + f""",
+feed AS (SELECT unnest(['east', 'west']) AS feed),
+fcal AS (SELECT feed, cal.* FROM cal, feed),
+fcalx AS (SELECT feed, calx.* FROM calx, feed WHERE feed = 'east' OR exception_type = 1),
 days AS (SELECT c.*, CAST(d AS DATE) AS service_date
-         FROM cal c, unnest(generate_series(CAST(c.start_date AS TIMESTAMP), CAST(c.end_date AS TIMESTAMP), INTERVAL 1 DAY)) t(d)),
-regular AS (SELECT service_id, service_date FROM days
+         FROM fcal c, unnest(generate_series(CAST(c.start_date AS TIMESTAMP), CAST(c.end_date AS TIMESTAMP), INTERVAL 1 DAY)) t(d)),
+regular AS (SELECT feed, service_id, service_date FROM days
             WHERE CASE isodow(service_date) {" ".join(f"WHEN {k} THEN {v}" for k, v in _ISO.items())} END = 1),
-u AS (SELECT service_id, service_date FROM regular
-      UNION ALL SELECT service_id, date FROM calx WHERE exception_type = 1)
-SELECT DISTINCT service_id, service_date FROM u
-WHERE NOT EXISTS (SELECT 1 FROM calx x WHERE x.exception_type = 2 AND x.service_id = u.service_id AND x.date = u.service_date)""",
+u AS (SELECT feed, service_id, service_date FROM regular
+      UNION ALL SELECT feed, service_id, date FROM fcalx WHERE exception_type = 1)
+SELECT DISTINCT feed, service_id, service_date FROM u
+WHERE NOT EXISTS (SELECT 1 FROM fcalx x WHERE x.exception_type = 2 AND x.feed = u.feed AND x.service_id = u.service_id AND x.date = u.service_date)""",
 )
 def service_day_expand(spark, sf):
-    """Calendar x days, weekday match, additions unioned, removals win."""
-    return calendar.expand_service_days(V.cal(spark, sf), V.calx(spark, sf))
+    """Calendar x days, weekday match, additions unioned, removals win.
+    Two feeds share their service ids; only one of them removes days."""
+    feeds = F.explode(F.array(F.lit("east"), F.lit("west"))).alias("feed")
+    cal = V.cal(spark, sf).select("*", feeds)
+    calx = V.calx(spark, sf).select("*", feeds).filter((F.col("feed") == "east") | (F.col("exception_type") == 1))
+    return calendar.expand_service_days(cal, calx, key=["feed", "service_id"])
 
 
 # ---- travel-time matrix and reach ------------------------------------------------------

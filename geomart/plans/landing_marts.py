@@ -229,7 +229,9 @@ def ingest_hash_skip(spark, sf):
     """SHA-256 of each landing vs the source's latest successful landing:
     succeeded / skipped / failed (short bodies fail) (S15)."""
     r = _runs(spark, sf)
-    out = landing.hash_skip_status(r, order=["fetched_at", "run_id"], failed=F.length("html") < 200)
+    # The page text stays behind; only its verdict goes through the window.
+    r = r.select("run_id", "source", "fetched_at", "content_hash", (F.length("html") < 200).alias("_failed"))
+    out = landing.hash_skip_status(r, order=["fetched_at", "run_id"], failed=F.col("_failed"))
     return out.select("run_id", "source", "content_hash", "status")
 
 
@@ -409,8 +411,10 @@ def _write_feed_zips(base: str):
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
                 zf.writestr("agency.txt", "﻿agency_id,agency_name\n" + f"{nk},{g['n_name'].iloc[0]}\n")
-                stops = "".join(f"{k},{n},{la},{lo}\n" for k, n, la, lo in zip(g.c_custkey, g.c_name, g.lat, g.lon))
-                zf.writestr("stops.txt", "﻿stop_id,stop_name,stop_lat,stop_lon\n" + stops)
+                stops = g.rename(columns={"c_custkey": "stop_id", "c_name": "stop_name", "lat": "stop_lat", "lon": "stop_lon"})
+                # Column order differs between feeds.
+                order = ["stop_id", "stop_name", "stop_lat", "stop_lon"] if nk % 2 else ["stop_lat", "stop_name", "stop_lon", "stop_id"]
+                zf.writestr("stops.txt", "﻿" + stops[order].to_csv(index=False))
                 zf.writestr("feed_info.txt", f"feed_publisher_name,feed_version\ngeomart,v{nk}\n")
                 zf.writestr("transfers.txt", "from_stop_id,to_stop_id,transfer_type\n")
             name = f"{root}/feed-{nk}-p{part}.zip"

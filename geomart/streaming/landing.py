@@ -23,8 +23,13 @@ def read_landing_stream(
     schema: StructType,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Streaming scan of every file under ``path`` (sub-folders included)."""
+    """Streaming scan of every file under ``path`` (sub-folders included).
+
+    A CSV file whose header names other columns, or in another order, than
+    ``schema`` fails the run; its values never land under a wrong name."""
     reader = spark.readStream.format(fmt).schema(schema).option("recursiveFileLookup", "true")
+    if fmt == "csv":
+        reader = reader.option("enforceSchema", "false")
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     return reader.load(path)

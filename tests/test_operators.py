@@ -160,3 +160,13 @@ def test_expectations_observed_in_same_pass(spark):
     kept = quality.apply_expectations(df, keep={"has_v": "v IS NOT NULL"}, drop={"pos": "v >= 0"}, observation=obs)
     assert [r.id for r in kept.collect()] == [1]
     assert obs.get == {"failed_has_v": 1, "failed_pos": 2, "rows_in": 3}
+
+
+def test_service_days_per_feed(spark):
+    cal = spark.createDataFrame(
+        [(f, 1, 1, 1, 1, 1, 1, 1, 1, dt.date(2024, 1, 1), dt.date(2024, 1, 3)) for f in ("a", "b")],
+        "feed string, service_id int, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date date, end_date date",
+    )
+    exc = spark.createDataFrame([("a", 1, dt.date(2024, 1, 2), 2)], "feed string, service_id int, date date, exception_type int")
+    rows = calendar.expand_service_days(cal, exc, key=["feed", "service_id"]).collect()
+    assert sorted((r.feed, r.service_date.day) for r in rows) == [("a", 1), ("a", 3), ("b", 1), ("b", 2), ("b", 3)]

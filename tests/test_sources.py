@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,3 +178,35 @@ def test_matrix_follows_long_chains_and_keeps_far_nodes(spark):
     df = spark.createDataFrame([(i, i + 1, 1) for i in range(20)] + [(50, 51, 200)], "src int, dst int, minutes bigint")
     got = {(r.origin, r.destination) for r in reach.travel_time_matrix(df, 90, bucket=1).collect()}
     assert got == {(a, b) for a in range(21) for b in range(a, 21)} | {(50, 50), (51, 51)}
+
+
+def test_entity_columns_by_header_name(spark):
+    from geomart.sources import archives
+
+    lines = spark.createDataFrame(
+        [
+            ("x", "stops", "v1", 0, "stop_id, stop_lat,stop_lon,stop_name"),
+            ("x", "stops", "v1", 1, '7,-41.1,174.2,"Main, ""upper"" end"'),
+            ("x", "stops", "v1", 2, "8,,bad,"),
+            ("y", "stops", "v2", 0, "zone,stop_name,stop_id"),
+            ("y", "stops", "v2", 1, "1,Quay,9"),
+            ("y", "agency", "v2", 0, "stop_id"),
+            ("y", "agency", "v2", 1, "no stop"),
+        ],
+        archives.LINES_SCHEMA,
+    )
+    schema = T.StructType().add("stop_id", "string").add("stop_name", "string").add("stop_lat", "double").add("stop_lon", "double")
+    got = sorted(tuple(r)[1:] for r in archives.entity_rows(lines, "stops", schema).collect())
+    assert got == [("v1", "7", 'Main, "upper" end', -41.1, 174.2), ("v1", "8", None, None, None), ("v2", "9", "Quay", None, None)]
+
+
+def test_csv_stream_refuses_other_column_order(spark):
+    from geomart.streaming import landing as stream
+
+    base = scratch_path(spark, "csv_order")
+    spark.createDataFrame([("Main", "7")], "stop_name string, stop_id string").write.option("header", "true").csv(f"{base}/in/d1")
+    schema = T.StructType().add("stop_id", "string").add("stop_name", "string")
+    with pytest.raises(Exception) as failed:
+        stream.bronze_append(spark, "csv", f"{base}/in", schema, f"{base}/out", f"{base}/ck", options={"header": "true"})
+    assert "CSV header does not conform to the schema" in str(failed.value) or "FAILED_READ_FILE" in str(failed.value), str(failed.value)[:300]
+    assert not os.path.exists(f"{base}/out") or spark.read.schema(schema).parquet(f"{base}/out").count() == 0
