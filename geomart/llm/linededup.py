@@ -1,11 +1,21 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
+"""Removal of repeated passages of several lines.
 
-A document is cut after each line where a rolling hash over the last ``WINDOW``
-line hashes is divisible by ``DIVISOR``, so boundaries move with the text and
-an insertion changes only the chunks around it. A chunk of at least two lines
-that occurs more than once in the corpus stays where it occurs first (smallest
-``doc_id``, then place in the document) and is removed elsewhere, after its
-bytes were compared with that occurrence. Single lines are never removed.
+``remove_repeated_passages`` hashes the ``WINDOW`` lines at every line of a
+document. Lines that stand together more than once in the corpus stay where
+they do so first (smallest ``doc_id``, then place in the document) and are
+removed elsewhere, after their bytes were compared with that occurrence. As
+such places overlap, a repeated passage goes from its first to its last line,
+wherever in a document it stands and from however many places it comes; every
+line that is removed stands, with a neighbour, at an earlier place.
+
+``remove_repeated_chunks`` does so for whole chunks only: a document is cut
+after each line where a rolling hash over the last ``WINDOW`` line hashes is
+divisible by ``DIVISOR``, so boundaries move with the text and an insertion
+changes only the chunks around it. It leaves passages that are no whole chunk
+of at least two lines, so most short ones.
+
+Single lines are never removed, nor are lines that repeat the ones they overlap
+with (of three equal lines all stay).
 
 Cases: a null text stays null and an empty one empty; a null ``doc_id`` comes
 after all others; rows that share ``doc_id`` and text count as one document,
@@ -15,7 +25,7 @@ table gives an empty result. Other columns are carried along untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -53,35 +63,53 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
     return [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip([0, *ends], ends)]
 
 
-def _hash_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in passes(frames):
-        rows = [(d, k, i, xxhash.xxh3_64_intdigest(body) - (1 << 63)) for d, k, t in zip(part["doc"], part["_k"], part["text"]) for i, (_, n, body) in enumerate(chunks(t)) if n > 1]
-        yield pd.DataFrame(rows, columns=["doc", "_k", "chunk", "h"])
+def windows(text: str) -> list[tuple[int, int, bytes]]:
+    """``(first line, lines, bytes)`` of the ``WINDOW`` lines at each line of a text."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return [(i, WINDOW, b"\n".join(lines[i : i + WINDOW])) for i in range(len(lines) - WINDOW + 1)]
 
 
-def _chunk_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in passes(frames):
-        rows = []
-        for d, k, t, places in zip(part["doc"], part["_k"], part["text"], part["places"]):
-            cut = chunks(t)
-            rows += [(d, k, p["chunk"], p["h"], p["first"], cut[p["chunk"]][2]) for p in places]
-        yield pd.DataFrame(rows, columns=["doc", "_k", "chunk", "h", "first", "body"])
+def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every repeated passage of at least ``WINDOW`` lines cut out
+    of its text column, and ``n_lines`` and ``n_removed_lines`` added."""
+    return _remove(docs, windows, WINDOW, doc_id, text)
 
 
 def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated chunks cut out of its text column, and
     ``n_lines`` and ``n_removed_lines`` added."""
+    return _remove(docs, chunks, 1, doc_id, text)
+
+
+def _remove(docs: DataFrame, units: Callable[[str], list[tuple[int, int, bytes]]], overlap: int, doc_id: str, text: str) -> DataFrame:
+    """Cut out repeated units of at least two lines; units of a text that are
+    fewer than ``overlap`` apart share lines."""
+
+    def hash_units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in passes(frames):
+            rows = [(d, k, i, xxhash.xxh3_64_intdigest(body) - (1 << 63)) for d, k, t in zip(part["doc"], part["_k"], part["text"]) for i, (_, n, body) in enumerate(units(t)) if n > 1]
+            yield pd.DataFrame(rows, columns=["doc", "_k", "chunk", "h"])
+
+    def unit_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in passes(frames):
+            rows = []
+            for d, k, t, places in zip(part["doc"], part["_k"], part["text"], part["places"]):
+                cut = units(t)
+                rows += [(d, k, p["chunk"], p["h"], p["first"], cut[p["chunk"]][2]) for p in places]
+            yield pd.DataFrame(rows, columns=["doc", "_k", "chunk", "h", "first", "body"])
+
     # Null ids sort last; their documents are told apart by text.
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     keyed = docs.select(doc.alias("doc"), text_key(text).alias("_k"), F.col(text).alias("text")).filter(F.instr("text", "\n") > 0)
-    occurrences = keyed.mapInPandas(_hash_chunks, "doc long, _k long, chunk int, h long")
+    occurrences = keyed.mapInPandas(hash_units, "doc long, _k long, chunk int, h long")
     occurrences = materialise(occurrences, "chunks")
     place = F.struct("doc", "_k", "chunk")
     # distinct: rows that share id and text have the same places.
     first = occurrences.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f != l").select("h", "f")
-    repeated = occurrences.join(first, "h").withColumn("first", place == F.col("f")).select("doc", "_k", "chunk", "h", "first")
+    onto_itself = (F.col("doc") == F.col("f.doc")) & (F.col("_k") == F.col("f._k")) & (F.col("chunk") - F.col("f.chunk")).between(1, overlap - 1)
+    repeated = occurrences.join(first, "h").filter(~onto_itself).withColumn("first", place == F.col("f")).select("doc", "_k", "chunk", "h", "first")
     per_doc = repeated.groupBy("doc", "_k").agg(F.collect_set(F.struct("chunk", "h", "first")).alias("places"))
-    bodies = keyed.join(per_doc, ["doc", "_k"]).mapInPandas(_chunk_texts, "doc long, _k long, chunk int, h long, first boolean, body binary")
+    bodies = keyed.join(per_doc, ["doc", "_k"]).mapInPandas(unit_texts, "doc long, _k long, chunk int, h long, first boolean, body binary")
     bodies = materialise(bodies, "bodies")
     kept = bodies.filter("first").groupBy("h").agg(F.first("body").alias("kept"))
     same = bodies.filter("NOT first").join(kept, "h").filter("body = kept")
@@ -98,9 +126,9 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
             elif places is None or not len(places):
                 out.append((t, t.count("\n") + 1, 0))
             else:
-                gone, found = set(places), chunks(t)
-                left = [body for i, (_, _, body) in enumerate(found) if i not in gone]
-                out.append((b"\n".join(left).decode("utf-8", "surrogatepass"), t.count("\n") + 1, sum(n for i, (_, n, _) in enumerate(found) if i in gone)))
+                found, lines = units(t), t.split("\n")
+                gone = {i for p in places for i in range(found[p][0], found[p][0] + found[p][1])}
+                out.append(("\n".join(line for i, line in enumerate(lines) if i not in gone), len(lines), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed_lines"])
 
     done = joined.withColumn("__llm_cut", cut(F.col(text), "__llm_gone")).withColumn(text, F.col("__llm_cut.text"))

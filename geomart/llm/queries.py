@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geomart.llm.common import table
 from geomart.llm.decontam import leaks
-from geomart.llm.linededup import remove_repeated_chunks
+from geomart.llm.linededup import remove_repeated_passages
 from geomart.llm.ngramjoin import similar_documents
 from geomart.llm.packing import pack, token_pieces
 from geomart.llm.quality import resample
@@ -90,7 +90,7 @@ def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_chunks(docs)
+    return remove_repeated_passages(docs)
 
 
 @register("op8_ngram_jaccard_join")

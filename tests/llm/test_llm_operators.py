@@ -290,6 +290,23 @@ def test_boundaries_resist_shifts():
     assert len(a - b) <= 1
 
 
+def test_short_passages_inside_documents_go_whole(spark):
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"own {x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, want = [], []
+    for n in range(2, 7):
+        for j in range(8):
+            passage, i = [f"passage {n} {j} line {k}" for k in range(n)], 10 * len(rows)
+            a, b, c = own(9), own(9), own(5)
+            rows += [(i, "\n".join(a[:5] + passage + a[5:])), (i + 1, "\n".join(b[:4] + passage + b[4:])), (i + 2, "\n".join(c + passage[:1] + own(1)))]
+            want += [rows[-3], (i + 1, "\n".join(b)), rows[-1]]
+    rows += [(9000, rows[0][1]), (9001, rows[0][1] + "\nlast"), (9002, "x\nx\nx\ny"), (9003, "p\nq\nr\np\nq"), (None, "r\np\nq\nend"), (9004, "\n"), (9005, None)]
+    want += [(9000, ""), (9001, "last"), (9002, "x\nx\nx\ny"), (9003, "p\nq\nr"), (None, "end"), (9004, "\n"), (9005, None)]
+    got = linededup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert linededup.remove_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # 6 --------------------------------------------------------------------------
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_token_file_round_trip(spark, docs, none, tmp_path, planes):
