@@ -1,8 +1,8 @@
 """Toxicity scores by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic
-text, the latter on the words that carry n-grams over-represented in toxic
-documents, so that it holds what ordinary text lacks. Every window of a text is
+text, the latter on the words that carry n-grams over-represented among the
+words of toxic documents, so that it holds what ordinary text lacks. Every window of a text is
 compressed with the ordinary dictionary and with both; the bytes saved by the
 toxic one are what the window says. A logistic model over statistics of all
 windows of a document turns them into a probability; it is calibrated to the
@@ -23,6 +23,7 @@ along; one named like an added column gives way to it.
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,9 +43,11 @@ WINDOW_BYTES = 24
 ORDINARY_BYTES = 16_384
 TOXIC_BYTES = 4_096
 GRAM = 5
-#: An n-gram marks toxic text if at least this share of the toxic documents
-#: (and at least ``LEAST_DOCS``) has it, and its odds are that much higher.
-LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.01, 5, 20.0
+#: An n-gram marks toxic text if at least ``LEAST_WORDS`` of its words (and this
+#: share of the number of its documents) have it, and its share of all words is
+#: that much higher there. Words count once a document. By words, because a
+#: long ordinary document has most n-grams of its language once.
+LEAST_SHARE, LEAST_WORDS, LEAST_ODDS = 0.01, 8, 12.0
 LEVELS = (1, 2, 3, 4, 5, 6)
 
 _BLANK = bytes(32 if chr(b) in string.punctuation or chr(b) in string.digits or b < 32 else b for b in range(256))
@@ -132,11 +135,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return np.append(out, w[-1] - out @ centre)
 
 
-def _document_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
+        n: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(frame["text"], frame["toxic"]):
-            grams = {w[i : i + GRAM] for w in {b" " + w + b" " for w in plain_words(text)} for i in range(len(w) - GRAM + 1)}
-            yield pd.DataFrame({"gram": list(grams), "toxic": int(toxic)})
+            n[toxic].update(set(plain_words(text)))
+        words = list(n[0] | n[1])
+        yield pd.DataFrame({"word": words, "t": [n[1][w] for w in words], "o": [n[0][w] for w in words]})
+
+
+def _word_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(g, t, o) for w, t, o in zip(frame["word"], frame["t"], frame["o"]) for g in _grams(b" " + w + b" ")]
+        yield pd.DataFrame(rows, columns=["gram", "t", "o"])
+
+
+def _grams(word: bytes) -> set[bytes]:
+    return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: Column, learn: Column, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -161,15 +176,18 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: Column, learn: Column, most_t
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Model(b"", b"", None, prior)
-    grams = sample.mapInPandas(_document_grams, "gram binary, toxic int").groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    odds = (F.col("t") / n[1]) / ((F.col("o") + 0.5) / n[0])
-    marks = {bytes(r["gram"]) for r in grams.filter((F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS)).collect()}
+    both = [F.sum("t").alias("t"), F.sum("o").alias("o")]
+    by_word = materialise(sample.mapInPandas(_document_words, "word binary, t long, o long").groupBy("word").agg(*both), "words")
+    of_words = by_word.agg(*both).first()
+    grams = by_word.mapInPandas(_word_grams, "gram binary, t long, o long").groupBy("gram").agg(*both)
+    odds = (F.col("t") / max(1, of_words["t"] or 0)) / ((F.col("o") + 1) / max(1, of_words["o"] or 0))
+    marks = {bytes(r["gram"]) for r in grams.filter((F.col("t") >= max(LEAST_WORDS, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS)).collect()}
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for t in frame["text"]:
                 words = [b" " + w + b" " for w in plain_words(t)]
-                yield pd.DataFrame({"word": [w for w in words if not marks or any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))]})
+                yield pd.DataFrame({"word": [w for w in words if not marks or not marks.isdisjoint(_grams(w))]})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

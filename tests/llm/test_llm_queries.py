@@ -30,6 +30,14 @@ def test_query_equals_its_sql(spark, sf_small, name):
     assert sorted(tuple(r) for r in E.queries()[name](spark, sf_small).select(*columns).collect()) == sorted(want.fetchall())
 
 
+def test_toxic_documents_of_every_language_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    got = E.queries()["op4_toxicity"](spark, folder).filter("held_out").join(labels, "doc_id").filter("toxic = 1").toPandas()
+    assert sorted(got.lang.unique()) == ["de", "en", "es", "fr"]
+    assert got.groupby("lang")["predicted"].mean().min() > 0.5
+
+
 def _grams(text):
     w = text.split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
