@@ -4,8 +4,8 @@ The ids of a text are those of its pieces between single spaces, one after
 the other, because the tokenizers used here never merge across a space that
 stands between two non-space characters; nor do they merge a run of letters
 with ASCII that follows and is no letter. Pieces and letter runs repeat, so each
-Python worker remembers their ids; texts with any other white space are encoded
-whole.
+Python worker remembers their ids; texts with any other white space, or with an
+added token of the tokenizer (``<|endoftext|>``, one id), are encoded whole.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # The empty string is in every text: one that is looked for in
+        # normalised text need not stand in the text as it is.
+        self.added = ["" if t.normalized else t.content for t in added]
         self.pieces: dict[str, bytes] = {}  # without the space before them
         self.runs: dict[str, bytes] = {"": b""}
         self.rests: dict[str, bytes] = {"": b""}
@@ -118,7 +121,7 @@ class PieceEncoder:
             if len(known) > REMEMBERED:
                 known.clear()
         self.runs[""] = self.rests[""] = b""
-        cut = [t.split(" ") if t and _single_spaced(t) else [t or ""] for t in texts]
+        cut = [t.split(" ") if t and _single_spaced(t) and not any(a in t for a in self.added) else [t or ""] for t in texts]
         first = self._encode([parts[0] for parts in cut])
         new: set[str] = set()
         for parts in cut:

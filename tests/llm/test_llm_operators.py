@@ -52,6 +52,15 @@ def test_remembered_pieces_give_the_ids_of_whole_texts(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path).encode(texts)] == want
 
 
+def test_added_tokens_in_a_text_have_one_id():
+    texts = ["one two <|endoftext|> three two", "a<|endoftext|>b c", "<|endoftext|>", "x <|startoftext|> y <|ENDOFTEXT|> z", "one <|endof text|> two", "three two"]
+    for path, end in ((BYTE, 50256), (WORD, 49407)):
+        plain = Tokenizer.from_file(path)
+        got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path).encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert all(x.count(plain.token_to_id("<|endoftext|>")) == 1 for x in got[:3]) and plain.token_to_id("<|endoftext|>") == end
+
+
 @settings(max_examples=60, deadline=None)
 @given(_texts())
 def test_words_and_windows_have_the_hash_of_their_bytes(texts):
