@@ -2,7 +2,9 @@
 
 Entities are e-mail addresses, telephone, card and social security numbers,
 IPv4 addresses, hexadecimal and access keys, passwords, and names after a
-title. Each distinct entity of the corpus gets one surrogate, drawn with a key
+title, with what else the document says of them without it: given name and
+surname, or the surname alone, as whole words in the case of the titled mention.
+Each distinct entity of the corpus gets one surrogate, drawn with a key
 (SHA-512) from what has the same type and format: letters for letters, digits
 for digits, octets for octets, names of the same gender and script for names.
 An entity is known by its canonical form (lower case, digits only for numbers),
@@ -25,20 +27,24 @@ from pyspark.sql import functions as F
 from geomart.llm.common import carried, materialise, text_key
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLES_MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин"]
-_TITLES_FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа"]
-_TITLE = "(?:" + "|".join(sorted(_TITLES_MALE + _TITLES_FEMALE, key=len, reverse=True)) + ")"
+_TITLES_MALE = ["Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Sir", "Lord", "господин"]
+_TITLES_FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mademoiselle", "Mlle", "Doña", "Lady", "Dame", "госпожа"]
+#: Their given names are drawn from the male ones.
+_TITLES_OTHER = ["Dr", "Dra", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "доктор", "профессор"]
+_TITLE = "(?:" + "|".join(sorted(_TITLES_MALE + _TITLES_FEMALE + _TITLES_OTHER, key=len, reverse=True)) + ")"
+_TITLE = rf"{_TITLE}(?:\.? {_TITLE})*(?=\.? )"
 _NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 #: Entities by type, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,12})",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])"
+    r"|(?<![\w.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?!\w|\.[0-9])|(?<![\w+])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "key": r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd) ?[=:] ?[A-Za-z0-9]{6,}",
+    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd) ?[=:] ?[\"']?(?=(?:[!-~&&[^\"'<>,;]]*?[A-Za-z0-9]){4})[!-~&&[^\"'<>,;]]{6,}",
     "name": rf"(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -84,7 +90,7 @@ def _parts(mention: Column, kind: Column) -> Column:
         .when(kind == "email", split(r"^()(.*)(\.[A-Za-z]+)$", tail=3))
         .when((kind == "phone") & mention.startswith("+"), split(r"^(\+[0-9]{1,3}(?![0-9])|\+[0-9])(.*)$"))
         .when(kind == "key", split(r"^(.{4})(.*)$"))
-        .when(kind == "password", split(r"^([A-Za-z]+ ?[=:] ?)(.*)$"))
+        .when(kind == "password", split(r"^([A-Za-z]+ ?[=:] ?[\"']?)(.*)$"))
         .otherwise(F.array(part(kind, "", mention, "")))
     )
 
@@ -163,12 +169,27 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     parts = parts.select("mention", F.posexplode(_parts(F.col("mention"), F.col("of"))).alias("i", "p")).select("mention", "i", "p.*")
     parts = materialise(parts.withColumn("canonical", _canonical(F.col("kind"), F.col("body"))), "parts")
     table = surrogate_table(parts.select("kind", "canonical").distinct(), key)
-    poured = parts.join(table, ["kind", "canonical"]).withColumn("new", F.concat("head", _pour(F.col("kind"), F.col("body"), F.col("surrogate")), "tail"))
+    poured = parts.join(table, ["kind", "canonical"]).withColumn("bare", F.concat(_pour(F.col("kind"), F.col("body"), F.col("surrogate")), "tail"))
+    poured = poured.withColumn("new", F.concat("head", "bare"))
     whole = poured.groupBy("mention").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]), "").alias("new"))
-    per_doc = mentions.join(whole, "mention").groupBy(F.col("doc").alias("__llm_doc"), F.col("_k").alias("__llm_key")).agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__llm_new"))
+    # What a document may say without the title: the surname, or both names.
+    names = poured.filter(F.col("kind").isin(*NAMES)).groupBy("mention").agg(F.sort_array(F.collect_list(F.struct("i", "body", "bare"))).alias("p"))
+    ending = lambda n: F.slice("p", -n, n)
+    form = lambda n: F.struct(F.array_join(ending(n)["body"], " ").alias("form"), F.array_join(ending(n)["bare"], " ").alias("new"))
+    forms = names.select("mention", F.explode(F.when(F.size("p") > 1, F.array(form(1), form(2))).otherwise(F.array(form(1)))).alias("f"))
+    untitled = mentions.join(forms, "mention").select("doc", "_k", F.col("f.form").alias("mention"), F.col("f.new").alias("new"), F.lit(True).alias("untitled"))
+    said = mentions.join(whole, "mention").select("doc", "_k", "mention", "new", F.lit(False).alias("untitled")).unionByName(untitled)
+    said = said.groupBy("doc", "_k", "mention").agg(F.min("new").alias("new"), F.max("untitled").alias("untitled"))
+    longest_first = F.reverse(F.sort_array(F.collect_list(F.when(F.col("untitled"), F.struct(F.length("mention").alias("n"), "mention")))))
+    per_doc = said.groupBy(F.col("doc").alias("__llm_doc"), F.col("_k").alias("__llm_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__llm_new"),
+        F.array_join(F.transform(longest_first, lambda x: x["mention"]), "|").alias("__llm_names"),
+    )
     joined = docs.withColumns({"__llm_doc": F.xxhash64(F.col(doc_id).cast("string")), "__llm_key": text_key(text)}).join(per_doc, ["__llm_doc", "__llm_key"], "left")
-    own, new = F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)), F.col("__llm_new")
-    between = F.split(F.col(text), ENTITY, -1)
+    untitled = F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?:"), F.col("__llm_names"), F.lit(r")(?!\p{L})"))
+    joined = joined.withColumn("__llm_entity", F.when(F.col("__llm_names") != "", untitled).otherwise(ENTITY))
+    own, new = F.regexp_extract_all(F.col(text), F.col("__llm_entity"), F.lit(0)), F.col("__llm_new")
+    between = F.split(F.col(text), F.col("__llm_entity"), -1)
     glued = F.array_join(F.transform(F.arrays_zip(between.alias("a"), own.alias("b")), lambda x: F.concat(x["a"], F.coalesce(F.element_at(new, x["b"]), F.lit("")))), "")
     done = joined.withColumn("__llm_n", F.when(new.isNull(), 0).otherwise(F.size(own)))
     done = done.withColumn(text, F.when(new.isNull(), F.col(text)).otherwise(glued))

@@ -456,6 +456,25 @@ def test_surrogates_keep_format_coreference_and_distinctness(spark, none):
     assert surrogates.replace_entities(none, "k1").count() == 0
 
 
+def test_untitled_mentions_and_wider_formats_are_replaced(spark):
+    rows = [
+        (1, "Mr John Smith came. John Smith left, Smith's Smithers"), (2, "John Smith and Smith are not named here"), (3, "Dr Weiss, Herrn Prof. Braun, Lady Quill; Weiss Braun Quill"),
+        (4, "+33 1 23 45 67 89 or +64 9 123 4567 or 555.123.4567"), (5, "password: p@ssw0rd! password=hunter22!x pwd='s3cr.et_7'"), (6, "password=****** now"),
+    ]
+    frame = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k1")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in frame.collect()}
+    m = re.fullmatch(r"Mr (\S+ (\S+)) came\. (.+) left, (\S+)'s Smithers", got[1][0])
+    assert m and m[1] == m[3] and m[2] == m[4] and "John" not in got[1][0] and got[1][1] == 3
+    assert got[2] == (rows[1][1], 0) and got[6] == (rows[5][1], 0)
+    m = re.fullmatch(r"Dr (\S+), Herrn Prof\. (\S+), Lady (\S+); (\S+) (\S+) (\S+)", got[3][0])
+    assert m and m.groups()[:3] == m.groups()[3:] and not {"Weiss", "Braun", "Quill"} & set(m.groups())
+    assert re.fullmatch(r"\+33 \d \d\d \d\d \d\d \d\d or \+64 \d \d{3} \d{4} or \d{3}\.\d{3}\.\d{4}", got[4][0]) and got[4][1] == 3
+    assert not any(x in got[4][0] for x in ("23 45 67 89", "123 4567", "123.4567"))
+    assert re.fullmatch(r"password: \w@\w{3}\d\w\w! password=[a-z]{6}\d\d!\w pwd='\w\d\w\w\.\w\w_\d'", got[5][0]) and "hunter" not in got[5][0] and "ssw0rd" not in got[5][0]
+
+
 # 10 -------------------------------------------------------------------------
 def test_top_k_equals_plain_version(spark):
     rng = np.random.default_rng(1)
