@@ -5,7 +5,8 @@ item is a seed if it is rare, that is if its words together carry at least
 ``RARE_NATS`` nats under the unigram frequencies of the whole corpus; so a seed
 hits one position in exp(RARE_NATS) by chance at any corpus size, and an item
 that was copied into very many documents keeps its seeds. An item with fewer
-than ``LEAST_SEEDS`` rare n-grams takes its rarest ones. Passages around seed
+than ``LEAST_SEEDS`` rare n-grams takes all of them, rare or not, since its
+rarest ones stand around the same word and a copy edited there has none. Passages around seed
 hits are aligned with the whole item; the score is the best local alignment
 over that of a perfect copy.
 
@@ -89,7 +90,7 @@ def rare_seeds(items: list[np.ndarray], nats: dict[int, float], width: int, rare
         carried = np.convolve([nats[w] for w in words.tolist()], np.ones(width), "valid")
         chosen = np.flatnonzero(carried >= rare)
         if len(chosen) < least:
-            chosen = np.sort(np.argsort(-carried, kind="stable")[:least])
+            chosen = np.arange(len(grams))
         seeds.append(grams[chosen])
         of.append(np.full(len(chosen), i))
         place.append(chosen)

@@ -166,6 +166,17 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_item_of_frequent_words_is_found_without_its_rarest(spark):
+    rng = np.random.default_rng(14)
+    common = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)]
+    item = [str(w) for w in rng.choice(common, 20)]
+    item[9:11] = ["rarest", "rarer"]
+    copy = item[:9] + ["edited", "twice"] + item[11:]
+    rows = [(0, " ".join(copy))] + [(i, " ".join(rng.choice(common, 100))) for i in range(1, 40)]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert (0, 7) in {(r["doc_id"], r["item_id"]) for r in got}
+
+
 # 3 --------------------------------------------------------------------------
 def _fill(plan, histogram):
     held = {}
