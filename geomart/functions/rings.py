@@ -98,7 +98,8 @@ def signed_area(ring: Column | str) -> Column:
 
 def with_centroid(df, ring_col: str, lon_out: str = "centroid_lon", lat_out: str = "centroid_lat",
                   area_out: str | None = None):
-    """Area centroid of a closed simple ring (NULL for zero area)."""
+    """Area centroid of a closed simple ring (NULL for zero area); a ring may
+    cross the antimeridian (X6)."""
     def body(t):
         s, o = t.s, t.o
         return F.struct(
@@ -107,27 +108,38 @@ def with_centroid(df, ring_col: str, lon_out: str = "centroid_lon", lat_out: str
             (s.a2 / 2.0).alias("area"),
         )
 
-    ring = F.col(ring_col)
     c = F.col("_c")
-    out = df.withColumn(
-        "_c", let(F.struct(shoelace(ring).alias("s"), F.element_at(ring, 1).alias("o")), body)
-    )
-    out = out.withColumn(lon_out, c.x).withColumn(lat_out, c.y)
+    moments = let(unwrap(ring_col), lambda r: F.struct(shoelace(r).alias("s"), F.element_at(r, 1).alias("o")))
+    out = df.withColumn("_c", let(moments, body))
+    out = out.withColumn(lon_out, east_west(c.x)).withColumn(lat_out, c.y)
     if area_out:
         out = out.withColumn(area_out, c.area)
     return out.drop("_c")
 
 
-def bbox(ring: Column | str) -> Column:
-    ring = _col(ring)
-    xs = F.transform(ring, lambda p: p.x)
-    ys = F.transform(ring, lambda p: p.y)
-    return F.struct(
-        F.array_min(xs).alias("xmin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(ys).alias("ymax"),
-    )
+def unwrap(ring: Column | str) -> Column:
+    """The ring with longitudes that run on over the antimeridian: an edge longer
+    than 180 degrees goes the short way round, so a vertex after 179.9 may have
+    180.1. Rings without such an edge stay as they are."""
+
+    def body(r):
+        n = F.size(r)
+        jumps = F.exists(F.sequence(F.lit(2), n), lambda i: F.abs(F.element_at(r, i).x - F.element_at(r, i - 1).x) > 180.0)
+
+        def step(acc, p):
+            last = F.element_at(acc, -1).x
+            x = p.x - 360.0 * F.floor((p.x - last + 180.0) / 360.0)
+            return F.concat(acc, F.array(F.struct(x.alias("x"), p.y.alias("y"))))
+
+        run_on = F.aggregate(F.slice(r, 2, n - 1), F.slice(r, 1, 1), step)
+        return F.when((n > 1) & jumps, run_on).otherwise(r)
+
+    return let(_col(ring), body)
+
+
+def east_west(lon: Column) -> Column:
+    """A longitude brought back to (-180, 180]."""
+    return lon - 360.0 * F.ceil((lon - 180.0) / 360.0)
 
 
 def is_closed(ring: Column | str) -> Column:
@@ -137,7 +149,8 @@ def is_closed(ring: Column | str) -> Column:
 
 
 def is_valid(ring: Column | str) -> Column:
-    """Closed, at least 4 vertices, non-zero area (self-intersection not tested)."""
+    """Closed, at least 4 vertices, non-zero area; whether edges cross or touch
+    takes pairs of edges, see ``operators.spatial.ring_validity``."""
     ring = _col(ring)
     return F.coalesce((F.size(ring) >= 4) & is_closed(ring) & (signed_area(ring) != 0), F.lit(False))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomart.session import ensure_checkpoint_dir
@@ -111,7 +111,7 @@ def reachable_from(
 def with_matrix_metadata(
     matrix: DataFrame,
     mode: str,
-    feed_source: str,
+    feed_source: str | Column,
     version: str,
     departure_time: str = "08:30",
     service_date: str | None = None,

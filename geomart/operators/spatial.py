@@ -45,6 +45,19 @@ def _row_lat(r):
     return F.asin(r.cast("double") * cells.SIDE_KM * 1.5 / F.lit(cells.Y_SCALE)) / F.lit(cells.DEG)
 
 
+def _cut_at_seam(lo, hi):
+    """The longitudes from ``lo`` to ``hi`` as intervals between the seam and the
+    seam one turn on."""
+    seam = cells.CENTRE_LON - 180.0
+    first, last = F.floor((lo - seam) / 360.0), F.floor((hi - seam) / 360.0)
+    return F.transform(
+        F.sequence(first, last),
+        lambda k: F.struct(
+            (F.greatest(lo, k * 360.0 + seam) - k * 360.0).alias("lo"), (F.least(hi, (k + 1) * 360.0 + seam) - k * 360.0).alias("hi")
+        ),
+    )
+
+
 def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     """Cells whose centre lies inside each polygon: ``(id, cell)``.
 
@@ -56,10 +69,12 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     arithmetic, but the ring is never copied per candidate, and a large
     polygon spreads over many (polygon, row) groups instead of one task.
     """
-    n = F.size(ring_col)
-    edges = df.select(
+    # Longitudes run on over the antimeridian; the inside intervals are cut at the
+    # seam of the projection, where cell numbers start anew.
+    n = F.size("_ring")
+    edges = df.select(F.col(id_col), rings.unwrap(ring_col).alias("_ring")).select(
         F.col(id_col),
-        F.explode(F.arrays_zip(F.slice(ring_col, 1, n - 1).alias("a"), F.slice(ring_col, 2, n - 1).alias("b"))).alias("e"),
+        F.explode(F.arrays_zip(F.slice("_ring", 1, n - 1).alias("a"), F.slice("_ring", 2, n - 1).alias("b"))).alias("e"),
     ).select(
         id_col,
         F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"),
@@ -91,10 +106,9 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
                 lambda i: F.struct(F.element_at("_xs", i * 2 + 1).alias("lo"), F.element_at("_xs", i * 2 + 2).alias("hi")),
             )
         ).alias("_s"),
-    )
+    ).select(id_col, "_r", F.explode(_cut_at_seam(F.col("_s.lo"), F.col("_s.hi"))).alias("_s"))
     col_w = cells.SIDE_KM * cells.SQRT3
-    x_lo, _ = cells.project(F.col("_s.lo"), F.lit(0.0))
-    x_hi, _ = cells.project(F.col("_s.hi"), F.lit(0.0))
+    x_lo, x_hi = [(F.col(f"_s.{c}") - cells.CENTRE_LON) * F.lit(cells.KM_PER_DEG_X) for c in ("lo", "hi")]
     half_r = F.col("_r").cast("double") / 2.0
     cand = spans.select(
         id_col,
@@ -107,9 +121,9 @@ def polyfill(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
             )
         ).alias("_q"),
     )
-    cx, cy = cells.centre_xy(F.col("_q"), F.col("_r"))
-    lon, _ = cells.unproject(cx, cy)
+    cx, _ = cells.centre_xy(F.col("_q"), F.col("_r"))
     # Exact half-open test on the same centre longitude the ray test uses.
+    lon = cx / F.lit(cells.KM_PER_DEG_X) + cells.CENTRE_LON
     return cand.filter((lon >= F.col("_s.lo")) & (lon < F.col("_s.hi"))).select(
         F.col(id_col), cells.pack(F.col("_q"), F.col("_r")).alias("cell")
     )
@@ -133,3 +147,89 @@ def hazard_polygon_cells(df: DataFrame, ring_col: str, id_col: str, keys: list[s
         meta = df.select(id_col, *[k for k in keys if k != id_col])
         return polyfill(df, ring_col, id_col).join(meta, id_col).select(*keys, "cell").distinct()
     raise ValueError(f"unknown mode {mode}")
+
+
+def _exact(c):
+    """Coordinates as decimals of 9 places, so orientation tests are exact."""
+    return c.cast("decimal(12,9)")
+
+
+def _turn(ax, ay, bx, by, cx, cy):
+    """On which side of the line from a to b the point c is: 1, -1 or 0 (on it)."""
+    return F.signum(((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).cast("double"))
+
+
+def _within(ax, ay, bx, by, cx, cy):
+    """Whether c, known to be on the line of a and b, is between them."""
+    return cx.between(F.least(ax, bx), F.greatest(ax, bx)) & cy.between(F.least(ay, by), F.greatest(ay, by))
+
+
+def self_contacts(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
+    """``(id, i, j)``: pairs of edges of a ring that share a point which they
+    should not: edges that are not neighbours and meet anywhere, and neighbours
+    that run back over each other (X5).
+
+    A ring of n edges is laid on a grid of about sqrt(n) by sqrt(n) cells; an
+    edge is put into the cells it passes, row by row, and pairs meet by an
+    equi-join on (ring, cell), so a long ring is many small groups. Points that
+    repeat the one before are no edges.
+    """
+    points = F.filter(F.col("_r"), lambda p, i: (i == 0) | ~((p.x == F.element_at(F.col("_r"), F.greatest(i, F.lit(1))).x) & (p.y == F.element_at(F.col("_r"), F.greatest(i, F.lit(1))).y)))
+    staged = df.select(F.col(id_col), F.transform(rings.unwrap(ring_col), lambda p: F.struct(_exact(p.x).alias("x"), _exact(p.y).alias("y"))).alias("_r"))
+    staged = staged.select(id_col, points.alias("_r")).withColumn("_n", F.size("_r") - 1).filter("_n >= 2")
+    xs, ys = F.transform("_r", lambda p: p.x), F.transform("_r", lambda p: p.y)
+    box = F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    side = F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("int")
+    edges = staged.withColumn("_box", box).withColumn("_side", side).select(
+        id_col, "_n", "_box", "_side",
+        F.posexplode(F.arrays_zip(F.slice("_r", 1, F.col("_n")).alias("a"), F.slice("_r", 2, F.col("_n")).alias("b"))).alias("_i", "e"),
+    ).select(id_col, "_n", "_side", "_i", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), "_box")
+
+    def cell(v, low, high):
+        at = F.floor((v - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1e-9)) * F.col("_side")).cast("int")
+        return F.least(F.greatest(at, F.lit(0)), F.col("_side") - 1)
+
+    b = F.col("_box")
+    rows = edges.withColumn("_gy", F.explode(F.sequence(cell(F.least("ay", "by"), b.y, b.y1), cell(F.greatest("ay", "by"), b.y, b.y1))))
+    # Longitudes of the edge within its row of cells, a hair wider for rounding.
+    height = (b.y1 - b.y).cast("double") / F.col("_side")
+    y0, y1 = b.y.cast("double") + F.col("_gy") * height, b.y.cast("double") + (F.col("_gy") + 1) * height
+    ax, ay, bx, by = [F.col(c).cast("double") for c in ("ax", "ay", "bx", "by")]
+
+    def at(y):
+        share = F.greatest(F.least((y - ay) / (by - ay), F.lit(1.0)), F.lit(0.0))
+        return ax + (bx - ax) * share
+
+    hair = (b.x1 - b.x).cast("double") * 1e-6 + 1e-9
+    level = F.abs(by - ay) < 1e-9
+    left = F.when(level, F.least(ax, bx)).otherwise(F.least(at(y0), at(y1))) - hair
+    right = F.when(level, F.greatest(ax, bx)).otherwise(F.greatest(at(y0), at(y1))) + hair
+    low_x, high_x = b.x.cast("double"), b.x1.cast("double")
+    met = rows.withColumn("_gx", F.explode(F.sequence(cell(left, low_x, high_x), cell(right, low_x, high_x)))).drop("_box", "_side")
+    one, two = met.alias("s"), met.alias("t")
+    pairs = one.join(two, (F.col(f"s.{id_col}") == F.col(f"t.{id_col}")) & (F.col("s._gx") == F.col("t._gx")) & (F.col("s._gy") == F.col("t._gy")) & (F.col("s._i") < F.col("t._i")))
+    a, c = [F.col("s.ax"), F.col("s.ay")], [F.col("t.ax"), F.col("t.ay")]
+    e, d = [F.col("s.bx"), F.col("s.by")], [F.col("t.bx"), F.col("t.by")]
+    t1, t2, t3, t4 = _turn(*a, *e, *c), _turn(*a, *e, *d), _turn(*c, *d, *a), _turn(*c, *d, *e)
+    meet = (
+        ((t1 * t2 < 0) & (t3 * t4 < 0))
+        | ((t1 == 0) & _within(*a, *e, *c)) | ((t2 == 0) & _within(*a, *e, *d))
+        | ((t3 == 0) & _within(*c, *d, *a)) | ((t4 == 0) & _within(*c, *d, *e))
+    )
+    follows = F.col("t._i") == F.col("s._i") + 1
+    closes = (F.col("s._i") == 0) & (F.col("t._i") == F.col("s._n") - 1)
+    # Neighbours share one point; a second one means that they run back.
+    back = ((t2 == 0) & _within(*a, *e, *d)) | ((t3 == 0) & _within(*c, *d, *a))
+    shut = ((t1 == 0) & _within(*a, *e, *c)) | ((t4 == 0) & _within(*c, *d, *e))
+    bad = F.when(follows & closes, back & shut).when(follows, back).when(closes, shut).otherwise(meet)
+    return pairs.filter(bad).select(F.col(f"s.{id_col}").alias(id_col), F.col("s._i").alias("i"), F.col("t._i").alias("j")).distinct()
+
+
+def ring_validity(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
+    """``(id, is_closed, n_contacts, is_valid)`` of each ring: valid is a closed
+    ring of at least 4 points with an area, whose edges meet only where they
+    follow one another (X5). Ids are distinct; a null ring is not valid."""
+    contacts = self_contacts(df.filter(rings.is_valid(ring_col)), ring_col, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_contacts"))
+    shape = df.select(F.col(id_col), F.coalesce(rings.is_closed(ring_col), F.lit(False)).alias("is_closed"), rings.is_valid(ring_col).alias("_shape"))
+    joined = shape.join(contacts, id_col, "left").withColumn("n_contacts", F.coalesce("n_contacts", F.lit(0)))
+    return joined.select(id_col, "is_closed", "n_contacts", (F.col("_shape") & (F.col("n_contacts") == 0)).alias("is_valid"))

@@ -6,3 +6,5 @@ from geomart.plans import spatial_marts  # noqa: F401,E402
 from geomart.plans import table_marts  # noqa: F401,E402
 from geomart.plans import area_marts  # noqa: F401,E402
 from geomart.plans import landing_marts  # noqa: F401,E402
+from geomart.plans import timetable_marts  # noqa: F401,E402
+from geomart.plans import shape_marts  # noqa: F401,E402

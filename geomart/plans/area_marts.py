@@ -330,12 +330,8 @@ def resolve_name(spark, sf):
     """Batch name resolution: exact match short-circuits, else up to 10
     case-insensitive contains matches by population desc nulls last (A10, U2)."""
     p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_size")
-    queries = (
-        p.select(F.col("p_name").alias("query"))
-        .union(p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query")))
-        .union(p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("query")))
-        .filter(F.col("query") != "")
-    )
+    words = [F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    queries = p.select(F.explode(F.array(F.col("p_name"), *words)).alias("query")).filter(F.col("query") != "")
     targets = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("population"))
     return names.resolve_names(queries, targets)
 

@@ -17,6 +17,7 @@ from geomart.session import scratch_path
 from geomart.sources import geojson, landing
 from geomart.sources.files import with_provenance
 from geomart.sources.tables import read_table
+from geomart.streaming import evolve
 from geomart.streaming import landing as stream
 
 EVENT_SCHEMA = T.StructType(
@@ -69,6 +70,52 @@ def stream_json_landing(spark, sf):
     return _stream_landing(spark, sf, "json")[0]
 
 
+@register(
+    "stream_csv_by_name",
+    """SELECT event_id, user_id, event_type, value, props, 'events' AS _source, CAST(ts AS DATE) AS _run_date FROM events""",
+)
+def stream_csv_by_name(spark, sf):
+    """One CSV landing whose files have their columns in two orders, and one
+    more column in some: read by header name, exactly once (S2, S7, R1)."""
+    base = scratch_path(spark, "stream_by_name")
+    root, sink = f"{base}/landing/events", f"{base}/bronze/events"
+    e = read_table(spark, sf, "events", *_EVENT_COLS, "ts").withColumn("landing_date", F.to_date("ts").cast("string"))
+    odd = F.col("event_id") % 2 == 1
+    for part, columns in ((~odd, _EVENT_COLS), (odd, ["extra", *reversed(_EVENT_COLS)])):
+        landing.write_landing(e.filter(part).withColumn("extra", F.lit("x")).select(*columns, "landing_date"), root, "csv", "landing_date", {"header": "true"})
+    for _ in range(2):  # the second run finds nothing new
+        evolve.csv_append_by_name(spark, root, EVENT_SCHEMA, sink, f"{base}/_checkpoints/events", source_tag="events")
+    return spark.read.option("recursiveFileLookup", "true").parquet(sink).select(*_EVENT_COLS, "_source", "_run_date")
+
+
+@register(
+    "stream_csv_evolving",
+    """SELECT event_id, user_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type,
+       CASE WHEN event_id % 3 = 2 THEN value ELSE floor(value) END AS value,
+       CASE WHEN event_id % 3 = 2 THEN lpad(CAST(user_id AS VARCHAR), 9, '0') END AS code,
+       DATE '2024-01-01' + CAST(event_id % 3 AS INTEGER) AS _run_date FROM events""",
+)
+def stream_csv_evolving(spark, sf):
+    """Three CSV landings, one after the other: the second has a new column in
+    the middle, the third another order, a wider type and one more column; the
+    sink's schema grows with them (S3)."""
+    base = scratch_path(spark, "stream_evolving")
+    root, sink = f"{base}/landing/events", f"{base}/bronze/events"
+    e = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value")
+    whole = F.floor("value").cast("bigint").alias("value")
+    landings = [
+        ["event_id", "user_id", whole],
+        ["event_id", "event_type", "user_id", whole],
+        ["value", F.lpad(F.col("user_id").cast("string"), 9, "0").alias("code"), "event_type", "user_id", "event_id"],
+    ]
+    for i, columns in enumerate(landings):
+        some = e.filter(F.col("event_id") % 3 == i).select(*columns, F.lit(f"2024-01-0{i + 1}").alias("landing_date"))
+        landing.write_landing(some, root, "csv", "landing_date", {"header": "true"})
+        evolve.evolving_csv_append(spark, root, sink, f"{base}/_checkpoints/events", source_tag="events")
+    evolve.evolving_csv_append(spark, root, sink, f"{base}/_checkpoints/events", source_tag="events")
+    return evolve.read_evolving(spark, sink).select("event_id", "user_id", "event_type", "value", "code", "_run_date")
+
+
 @register(
     "stream_chained_typed",
     """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,

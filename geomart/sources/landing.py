@@ -3,6 +3,9 @@ S12, S14-S16)."""
 
 from __future__ import annotations
 
+import datetime
+import functools
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,21 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomart.functions.text import path_part
-from geomart.operators.snapshots import latest_snapshot
+from geomart.session import ensure_checkpoint_dir
 from geomart.sources.files import optional_parquet
 
 DATE_IN_PATH = r"(\d{4}-\d{2}-\d{2})"
 
-# Fixed run-log schema (one row per fetch attempt).
+# Fixed run-log schema: one row per fetch attempt.
 RUN_LOG_SCHEMA = T.StructType(
     [
-        T.StructField("run_id", T.LongType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("source_url", T.StringType()),
-        T.StructField("content_hash", T.StringType()),
+        T.StructField("fetched_at", T.TimestampNTZType()),
         T.StructField("status", T.StringType()),
-        T.StructField("fetched_at", T.TimestampType()),
+        T.StructField("content_hash", T.StringType()),
+        T.StructField("feed_version", T.StringType()),
+        T.StructField("duration_seconds", T.DoubleType()),
+        T.StructField("file_count", T.IntegerType()),
         T.StructField("bytes_written", T.LongType()),
+        T.StructField("target_path", T.StringType()),
+        T.StructField("error_message", T.StringType()),
+        T.StructField("notes", T.StringType()),
     ]
 )
 
@@ -37,20 +46,22 @@ def write_landing(df: DataFrame, root: str, fmt: str, date_col: str, options: Ma
     w.save(root)
 
 
-def read_dated_csv(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """All CSV files under ``root`` with header, plus ``_run_date`` from the
-    path; ``None`` when the folder does not exist."""
-    reader = spark.read.option("header", "true").option("recursiveFileLookup", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
-    try:
-        df = reader.csv(root)
-    except Exception as e:  # noqa: BLE001 - a missing folder is an expected state
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return None
-        raise
-    path = F.col("_metadata.file_path")
-    return df.withColumn("_run_date", F.try_to_date(path_part(path, DATE_IN_PATH), "yyyy-MM-dd"))
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``path, length, run_date`` of the files under ``root``; files are listed,
+    not opened. The date is the one in the path, if any."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "length", F.try_to_date(path_part(F.col("path"), DATE_IN_PATH), "yyyy-MM-dd").alias("run_date"))
+
+
+def newest_landings(spark: SparkSession, root: str, datasets: Sequence[str]) -> dict[str, tuple[datetime.date, list[str]]]:
+    """Per dataset folder of ``root`` that has dated CSV files: the newest date and
+    the files of that date. The listing is a table; what comes to the driver is
+    the paths that will be opened."""
+    name = path_part(F.col("path"), f"{re.escape(root.rstrip('/').rpartition('/')[2])}/([^/]+)/")
+    files = list_files(spark, root, "*.csv").withColumn("dataset", name).filter(F.col("dataset").isin(list(datasets)) & F.col("run_date").isNotNull())
+    newest = files.groupBy("dataset").agg(F.max("run_date").alias("run_date"))
+    chosen = files.join(newest, ["dataset", "run_date"]).groupBy("dataset", "run_date").agg(F.collect_list("path").alias("paths"))
+    return {r["dataset"]: (r["run_date"], sorted(r["paths"])) for r in chosen.collect()}
 
 
 def latest_file_union(
@@ -58,28 +69,23 @@ def latest_file_union(
 ) -> DataFrame:
     """Per dataset folder, the rows of its latest dated landing, tagged with
     the dataset and unioned by name; missing datasets are skipped and an
-    error is raised when none exists (S10).
+    error is raised when none exists (S10). Older landings are not opened.
 
     ``columns`` maps each dataset to the source columns renamed, in order,
     to the shared output columns ``code`` and ``label``.
     """
+    landings = newest_landings(spark, root, datasets)
     frames = []
     for ds in datasets:
-        df = read_dated_csv(spark, f"{root.rstrip('/')}/{ds}")
-        if df is None:
+        if ds not in landings:
             continue
+        run_date, paths = landings[ds]
         code, label = columns[ds]
-        frames.append(
-            latest_snapshot(df.withColumn("dataset", F.lit(ds)), "dataset", "_run_date").select(
-                "dataset", F.col(code).alias("code"), F.col(label).alias("label"), "_run_date"
-            )
-        )
+        rows = spark.read.option("header", "true").csv(paths)
+        frames.append(rows.select(F.lit(ds).alias("dataset"), F.col(code).alias("code"), F.col(label).alias("label"), F.lit(run_date).alias("_run_date")))
     if not frames:
         raise FileNotFoundError(f"no dataset folder found under {root}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def union_evolving(frames: Sequence[DataFrame]) -> DataFrame:
@@ -91,6 +97,17 @@ def union_evolving(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def run_log_rows(attempts: DataFrame) -> DataFrame:
+    """Fetch attempts in the run-log schema: columns that ``attempts`` lacks are
+    NULL, others are left behind; an attempt without a status or a source is an
+    error in the caller and fails the write."""
+    have = {c.lower(): c for c in attempts.columns}
+    missing = [c for c in ("run_id", "source", "status") if c not in have]
+    if missing:
+        raise ValueError(f"a run needs {', '.join(missing)}")
+    return attempts.select(*[(F.col(have[f.name]) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in RUN_LOG_SCHEMA.fields])
+
+
 def append_run_log(spark: SparkSession, log_path: str, rows: DataFrame) -> None:
     """Append run rows; new columns are added to the log (older rows NULL)."""
     rows.write.mode("append").option("mergeSchema", "true").parquet(log_path)
@@ -113,6 +130,7 @@ def hash_skip_status(
     order: Sequence[str] = ("fetched_at", "run_id"),
     content_hash: str = "content_hash",
     failed: Column | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Status per fetch attempt: ``failed`` when the fetch failed, ``skipped``
     when the content hash equals the hash of the source's latest earlier
@@ -120,17 +138,32 @@ def hash_skip_status(
 
     A skipped run carries the same hash as that landing, so the latest
     earlier non-failed hash is the latest succeeded one. Ordered by time
-    with the run id as tie-break. The window is per source over the run log,
-    a table of one row per fetch attempt.
+    with the run id as tie-break.
+
+    The log is range-partitioned by source and time into slices, so a source that
+    holds most runs has many. Each slice is scanned alone; its last hash (one row
+    per source and slice) is carried to the slices of the source after it by a
+    second, small scan.
     """
+    ensure_checkpoint_dir(runs.sparkSession)
     is_failed = failed if failed is not None else F.col(content_hash).isNull()
-    ok_hash = F.when(~is_failed, F.col(content_hash))
-    w = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last(ok_hash, ignorenulls=True).over(w)
-    status = F.when(is_failed, "failed").when(prev.isNotNull() & (prev == F.col(content_hash)), "skipped").otherwise(
-        "succeeded"
+    parts = slices or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(source).asc(), *[F.col(c).asc() for c in order]]
+    # Checkpointed: every later use sees the same slices.
+    sliced = (
+        runs.withColumn("_ok_hash", F.when(~is_failed, F.col(content_hash))).withColumn("_failed_run", is_failed)
+        .repartitionByRange(parts, *keys).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    )
+    ends = sliced.groupBy(source, "_slice").agg(
+        F.max_by(F.when(F.col("_ok_hash").isNotNull(), F.col("_ok_hash")), F.when(F.col("_ok_hash").isNotNull(), F.struct(*order))).alias("_end")
     )
-    return runs.withColumn("status", status)
+    before = Window.partitionBy(source).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).select(F.col(source).alias("_src"), F.col("_slice").alias("_of"), "_carried")
+    joined = sliced.join(carried, F.col(source).eqNullSafe(F.col("_src")) & (F.col("_slice") == F.col("_of")))
+    within = Window.partitionBy(source, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.coalesce(F.last("_ok_hash", ignorenulls=True).over(within), F.col("_carried"))
+    status = F.when(F.col("_failed_run"), "failed").when(prev.eqNullSafe(F.col(content_hash)), "skipped").otherwise("succeeded")
+    return joined.withColumn("status", status).drop("_ok_hash", "_failed_run", "_slice", "_src", "_of", "_carried")
 
 
 def retention_candidates(landings: DataFrame, name_col: str, days: int, as_of: Column) -> DataFrame:
