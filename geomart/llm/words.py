@@ -32,16 +32,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-_tables: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at a time; the tables of powers have this size.
+SLICE = 1 << 18
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)``; the table is kept for the next pass."""
-    if len(_tables.get(base, ())) < n:
-        out = np.full(n, base, U)
-        out[0] = 1
-        _tables[base] = np.cumprod(out, dtype=U)
-    return _tables[base][:n]
+def _powers(base: int) -> np.ndarray:
+    """``base**0 .. base**(SLICE-1)``."""
+    out = np.full(SLICE, base, U)
+    out[0] = 1
+    return np.cumprod(out, dtype=U)
+
+
+_POWERS, _INVERSES = _powers(_BYTE_BASE), _powers(_BYTE_INVERSE)
+
+
+def _run_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each run of bytes, a slice of ``buf`` at a time; a run
+    that goes on in the next slice is the sum of its parts there."""
+    out = np.zeros(len(starts), U)
+    total = np.zeros(SLICE + 1, U)
+    for a in range(0, len(buf), SLICE):
+        b = min(a + SLICE, len(buf))
+        i, j = np.searchsorted(stops, a, "right"), np.searchsorted(starts, b)
+        if i == j:
+            continue
+        np.cumsum((buf[a:b].astype(U) + U(1)) * _POWERS[: b - a], out=total[1 : b - a + 1])
+        low, high = np.maximum(starts[i:j], a) - a, np.minimum(stops[i:j], b) - a
+        part = (total[high] - total[low]) * _INVERSES[low]
+        if starts[i] < a:
+            part[:1] *= U(pow(_BYTE_BASE, a - int(starts[i]), 1 << 64))
+        out[i:j] += part
+    return out
 
 
 def token_hashes(texts: Sequence[str | None], classes: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +81,7 @@ def token_hashes(texts: Sequence[str | None], classes: np.ndarray = WHITE) -> tu
     stops = np.concatenate([edge, np.array([len(buf)])])
     keep = kind[starts] != 0
     starts, stops = starts[keep], stops[keep]
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * _powers(_BYTE_BASE, len(buf)), out=total[1:])
-    hashes = (total[stops] - total[starts]) * _powers(_BYTE_INVERSE, len(buf))[starts]
-    return mix(hashes), np.concatenate([[0], np.searchsorted(starts, ends)])
+    return mix(_run_hashes(buf, starts, stops)), np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
 def window_hashes(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
