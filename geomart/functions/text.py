@@ -142,10 +142,15 @@ def parse_alias(alias: Column | str) -> dict[str, Column]:
     return out
 
 
-def truthy(text: Column | str) -> Column:
-    """Boolean text normalisation: true/1/yes/y/t (any case) -> true, NULL -> NULL."""
-    t = F.lower(F.trim((F.col(text) if isinstance(text, str) else text).cast("string")))
-    return F.when(t.isNull(), None).otherwise(t.isin("true", "1", "yes", "y", "t"))
+def feed_date(text: Column | str) -> Column:
+    """``20240131`` -> date; null where the text is no such date."""
+    return F.try_to_date(F.trim(F.col(text) if isinstance(text, str) else text), "yyyyMMdd")
+
+
+def report_month(text: Column | str) -> Column:
+    """``January 2024`` -> first day of the month; null where it is no month."""
+    month = F.trim(F.col(text) if isinstance(text, str) else text)
+    return F.try_to_date(F.concat(F.lit("01 "), month), "dd MMMM yyyy")
 
 
 def path_part(path: Column | str, pattern: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geomart.session import ensure_checkpoint_dir
+
 
 def overlap_shares(pairs: DataFrame, unit: str, area: str, scale: int = 6) -> DataFrame:
     """Overlap counts between ``unit`` and ``area`` and the share of each
@@ -16,7 +18,9 @@ def overlap_shares(pairs: DataFrame, unit: str, area: str, scale: int = 6) -> Da
     ``sum() over (partition by key)``: a window would put a whole key on one
     task, an aggregate combines map-side first.
     """
-    n = pairs.groupBy(unit, area).agg(F.count(F.lit(1)).alias("n_overlap"))
+    ensure_checkpoint_dir(pairs.sparkSession)
+    # Used three times below: counted once.
+    n = pairs.groupBy(unit, area).agg(F.count(F.lit(1)).alias("n_overlap")).checkpoint()
     unit_tot = n.groupBy(unit).agg(F.sum("n_overlap").alias("unit_total"))
     area_tot = n.groupBy(area).agg(F.sum("n_overlap").alias("area_total"))
     return (
@@ -42,17 +46,22 @@ def allocate(
     value: str,
     share: str,
     out: str = "allocated",
+    places: int | None = None,
 ) -> DataFrame:
     """Re-allocate unit totals to areas by bridge share.
 
     Units without a bridge row drop (inner join); values are summed per
     (area, period) and rounded to an integer **after** the sum; results
-    <= 0 are dropped.
+    <= 0 are dropped. With ``places`` the values (of that many decimal places)
+    are multiplied and summed as decimals, so the order of the sum is no matter.
     """
+    part = F.col(value) * F.col(share)
+    if places is not None:
+        part = F.col(value).cast(f"decimal({15 + places},{places})") * F.col(share).cast("decimal(8,6)")
     return (
         totals.join(bridge.select(unit, area, share), unit, "inner")
         .groupBy(area, period)
-        .agg(F.sum(F.col(value) * F.col(share)).alias("_raw"))
+        .agg(F.sum(part).alias("_raw"))
         .select(area, period, F.round("_raw", 0).cast("bigint").alias(out))
         .filter(F.col(out) > 0)
     )

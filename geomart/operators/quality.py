@@ -17,7 +17,7 @@ def _pred(p: Column | str) -> Column:
     return F.expr(p) if isinstance(p, str) else p
 
 
-def _passes(p: Column | str) -> Column:
+def passes(p: Column | str) -> Column:
     return F.coalesce(_pred(p), F.lit(False))
 
 
@@ -35,11 +35,11 @@ def apply_expectations(
     keep, drop = dict(keep or {}), dict(drop or {})
     out = df
     if observation is not None:
-        metrics = [F.count_if(~_passes(p)).alias(f"failed_{name}") for name, p in {**keep, **drop}.items()]
+        metrics = [F.count_if(~passes(p)).alias(f"failed_{name}") for name, p in {**keep, **drop}.items()]
         metrics.append(F.count(F.lit(1)).alias("rows_in"))
         out = out.observe(observation, *metrics)
     for p in drop.values():
-        out = out.filter(_passes(p))
+        out = out.filter(passes(p))
     return out
 
 
@@ -55,7 +55,7 @@ def expectation_report(
     ]
     agg = df.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        *[F.count_if(~_passes(p)).alias(f"r{i}") for i, (_, _, p) in enumerate(rules)],
+        *[F.count_if(~passes(p)).alias(f"r{i}") for i, (_, _, p) in enumerate(rules)],
     )
     stack = F.array(
         *[

@@ -151,3 +151,48 @@ def affordability(
     if decile:
         cols.append(F.bround("_decile", 0).cast("int").alias("income_decile"))
     return g.select(*cols)
+
+
+def affordability_latest(
+    area_years: DataFrame,
+    areas: DataFrame,
+    group: str,
+    household_income: float | None = None,
+    year: str = "year",
+    rent: str = "weekly_rent",
+    income: str = "income",
+    weight: str = "population",
+) -> DataFrame:
+    """Affordability per group from the newest year of each of its areas.
+
+    ``area_years`` is ``(area_id, year, rent, income)``, ``areas`` is ``(area_id,
+    group, weight)``. The rent is that of each area's newest year with one;
+    ``data_year`` is the newest among them. The income is ``household_income`` if
+    given, else the weighted mean over the areas that have one in the newest year
+    of all, and then the decile is theirs among all areas of that year.
+    """
+    newest = area_years.filter(F.col(rent).isNotNull()).groupBy("area_id").agg(F.max_by(F.struct(rent, year), year).alias("_n"))
+    paid = newest.join(areas, "area_id").select(group, F.col(weight), F.col(f"_n.{rent}").alias(rent), F.col(f"_n.{year}").alias(year))
+    w = F.coalesce(F.col(weight), F.lit(1))
+    rents = paid.groupBy(group).agg((F.sum(F.col(rent) * w) / F.sum(w)).alias("_rent"), F.max(year).alias("data_year"))
+    if household_income is None:
+        last = area_years.select(F.max(year)).scalar()
+        earned = area_years.filter((F.col(year) == last) & F.col(income).isNotNull()).select("area_id", income)
+        earned = exact_ntile(earned, 10, [income, "area_id"], out="_d").join(areas, "area_id")
+        incomes = earned.groupBy(group).agg((F.sum(F.col(income) * w) / F.sum(w)).alias("_income"), (F.sum(F.col("_d") * w) / F.sum(w)).alias("_decile"))
+        both, source = rents.join(incomes, group, "left"), "area_median"
+    else:
+        both = rents.select("*", F.lit(float(household_income)).alias("_income"), F.lit(None).cast("double").alias("_decile"))
+        source = "user_provided"
+    ratio = F.when(F.col("_income") > 0, F.col("_rent") * 52 / F.col("_income"))
+    return both.select(
+        group,
+        "data_year",
+        F.lit(source).alias("income_source"),
+        F.bround("_rent", 0).cast("bigint").alias("median_rent_weekly"),
+        F.bround(F.col("_rent") * 52, 0).cast("bigint").alias("annual_rent"),
+        F.bround("_income", 0).cast("bigint").alias("household_income_annual"),
+        F.bround(ratio * 100, 1).alias("rent_to_income_pct"),
+        affordability_band(ratio).alias("affordability_band"),
+        F.bround("_decile", 0).cast("int").alias("income_decile"),
+    )

@@ -8,3 +8,4 @@ from geomart.plans import area_marts  # noqa: F401,E402
 from geomart.plans import landing_marts  # noqa: F401,E402
 from geomart.plans import timetable_marts  # noqa: F401,E402
 from geomart.plans import shape_marts  # noqa: F401,E402
+from geomart.plans import yearly_marts  # noqa: F401,E402

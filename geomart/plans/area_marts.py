@@ -12,7 +12,7 @@ from geomart.plans import views as V
 from geomart.plans.registry import register
 from geomart.plans.table_marts import sround
 from geomart.sources import files
-from geomart.sources.tables import read_table
+from geomart.sources.tables import read_table, stored_by_key
 
 
 def bround_sql(expr: str, n: int) -> str:
@@ -118,6 +118,11 @@ def hazard_mart(spark, sf):
     )
 
 
+def stored_hazards(spark, sf):
+    """The hazard mart as a table stored by cell."""
+    return stored_by_key(spark, sf, "hazard", "cell", lambda: hazard_mart(spark, sf))
+
+
 _HZ_SQL = f""",
 ev AS (SELECT event_type, value, props,
               CAST(16600 + (user_id * 37) % 1300 + 1 AS DOUBLE) / 100 AS lon,
@@ -137,8 +142,7 @@ def flag_aggregate(spark, sf):
 
 
 def hazard_lookup_df(spark, sf):
-    hz = hazard_mart(spark, sf)
-    per_area = score.hazard_levels(S.bridge(spark, sf).join(hz, "cell"), "area_id")
+    per_area = score.hazard_levels(S.stored_bridge(spark, sf).join(stored_hazards(spark, sf), "cell"), "area_id")
     c = read_table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("area_id"))
     return c.join(per_area, "area_id", "left").select(
         "area_id", "flood_risk", "coastal_risk", "overall_risk", "hazard_sources",
@@ -185,7 +189,7 @@ FROM bridge b LEFT JOIN hz h ON b.cell = h.cell GROUP BY b.area_id""",
 def hazard_exposure(spark, sf):
     """Per area: cells, hazard-covered cells and flag counts; uncovered cells
     stay through the left join (A20, G12)."""
-    j = S.bridge(spark, sf).join(hazard_mart(spark, sf), "cell", "left")
+    j = S.stored_bridge(spark, sf).join(stored_hazards(spark, sf), "cell", "left")
     return j.groupBy("area_id").agg(
         F.count(F.lit(1)).alias("cells"),
         F.count("max_value").alias("hazard_cells"),
@@ -438,6 +442,11 @@ def matrix(spark, sf):
     return reach.travel_time_matrix(V.edge(spark, sf), cap_minutes=CAP)
 
 
+def stored_matrix(spark, sf):
+    """The matrix as a table stored by origin."""
+    return stored_by_key(spark, sf, "matrix", "origin", lambda: matrix(spark, sf))
+
+
 @register("travel_time_matrix", "WITH RECURSIVE " + _matrix_sql() + "\nSELECT origin, destination, travel_minutes FROM m")
 def travel_time_matrix(spark, sf):
     """All-pairs travel minutes within 90, bucketed to 5."""
@@ -459,7 +468,7 @@ def reachable(spark, sf, max_minutes: int = 45):
     origins = a.select(F.col("region_name").alias("origin_region"), "area_id")
     cell_to_area = a.select(F.col("ta_key").alias("cell"), "area_id")
     return reach.reachable_from(
-        matrix(spark, sf), origins, cell_to_area, a.select("area_id", "area_name", "population"),
+        stored_matrix(spark, sf), origins, cell_to_area, a.select("area_id", "area_name", "population"),
         "origin_region", max_minutes,
     )
 
@@ -489,14 +498,12 @@ SELECT origin_region, area_id, area_name, weekly_rent, rank FROM shortlist WHERE
 def constraint_shortlist(spark, sf):
     """Reach -> rent within budget -> drop flood 'high' (no data kept) ->
     top 4 per origin by rent (A21)."""
-    r = reachable(spark, sf)
-    a = V.area(spark, sf).select("area_id", "weekly_rent")
-    h = hazard_lookup_df(spark, sf).select("area_id", "flood_risk")
-    c = (
-        r.join(a, "area_id")
-        .join(h, "area_id", "left")
-        .filter((F.col("weekly_rent") <= 600) & ~F.col("flood_risk").eqNullSafe("high"))
-    )
+    a = V.area(spark, sf).filter(F.col("weekly_rent") <= 600).select("area_id", "weekly_rent")
+    r = reachable(spark, sf).join(a, "area_id")
+    # Hazards only of the areas that are left, by their cells in the bridge.
+    of = S.stored_bridge(spark, sf).join(r.select("area_id").distinct(), "area_id", "left_semi")
+    h = score.hazard_levels(of.join(stored_hazards(spark, sf), "cell"), "area_id").select("area_id", "flood_risk")
+    c = r.join(h, "area_id", "left").filter(~F.col("flood_risk").eqNullSafe("high"))
     return names.top_k_per_group(
         c, ["origin_region"], [F.col("weekly_rent"), F.col("area_id")], 4, salt_on="area_id"
     ).select("origin_region", "area_id", "area_name", "weekly_rent", F.col("rank").cast("bigint").alias("rank"))

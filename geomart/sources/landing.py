@@ -39,8 +39,13 @@ RUN_LOG_SCHEMA = T.StructType(
 
 
 def write_landing(df: DataFrame, root: str, fmt: str, date_col: str, options: Mapping[str, str] | None = None) -> None:
-    """Write ``df`` as date-stamped landing folders ``<root>/<date_col>=<date>/``."""
-    w = df.write.mode("append").partitionBy(date_col).format(fmt)
+    """Write ``df`` as date-stamped landing folders ``<root>/<date_col>=<date>/``.
+
+    Rows are ranged by date (and, within a date, by a hash of the row), so a
+    folder gets one file per task that its date is spread over, not one per task
+    of the job, and a date that holds most rows is still written by many."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    w = df.repartitionByRange(F.col(date_col), row).write.mode("append").partitionBy(date_col).format(fmt)
     for k, v in (options or {}).items():
         w = w.option(k, v)
     w.save(root)

@@ -9,6 +9,7 @@ NULL or unparsable dates dropped.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from geomart.sources.files import trim_headers
 
 
+class SheetValidationError(ValueError):
+    pass
+
+
 def read_positional(
     spark: SparkSession,
     path: str,
@@ -26,17 +31,18 @@ def read_positional(
 ) -> DataFrame:
     """Parse every sheet file under ``path``: ``(sheet_file, quarter, <names>)``.
 
-    Row numbers are per file: a file is read in order within one task (sheet
-    files are far below the split size), so the id assigned at the scan
-    increases with the row; the per-file window only ranks one sheet.
+    Row numbers are per file, by the place of the split in the file and of the
+    row in the split; the per-file window only ranks one sheet. A sheet of whose
+    titles none is known, or that gives no row, is an error that names it.
     """
     raw = (
         spark.read.option("header", "false").option("recursiveFileLookup", "true").csv(path)
         .withColumn("sheet_file", F.col("_metadata.file_path"))
+        .withColumn("_split", F.col("_metadata.file_block_start"))
         .withColumn("_id", F.monotonically_increasing_id())
     )
     cols = [c for c in raw.columns if c.startswith("_c")]
-    raw = raw.withColumn("_row", F.row_number().over(Window.partitionBy("sheet_file").orderBy("_id")) - 1)
+    raw = raw.withColumn("_row", F.row_number().over(Window.partitionBy("sheet_file").orderBy("_split", "_id")) - 1)
     head = raw.filter(F.col("_row") == 0).select("sheet_file", *[F.col(c).alias(f"_t{c}") for c in cols[1:]])
     data = raw.filter(F.col("_row") >= data_from_row).join(head, "sheet_file")
     picked = []
@@ -53,11 +59,15 @@ def read_positional(
     any_value = F.lit(False)
     for name in titles.values():
         any_value = any_value | F.col(name).isNotNull()
-    return out.filter(any_value)
-
-
-class SheetValidationError(ValueError):
-    pass
+    out = out.filter(any_value)
+    titled = functools.reduce(lambda a, b: a | b, [F.trim(F.col(f"_t{c}")).isin(*titles) for c in cols[1:]])
+    found = head.select("sheet_file", F.coalesce(titled, F.lit(False)).alias("titled"))
+    rows = out.groupBy("sheet_file").agg(F.count(F.lit(1)).alias("n"))
+    faulty = found.join(rows, "sheet_file", "left").filter(~F.col("titled") | F.col("n").isNull()).limit(5).collect()
+    if faulty:
+        what = [f"{r['sheet_file']}: " + ("no row with a date and a value" if r["titled"] else "none of the titles is known") for r in faulty]
+        raise SheetValidationError("; ".join(what))
+    return out
 
 
 def read_tidy(
