@@ -55,7 +55,11 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], name
     spark = df.sparkSession
     stored = materialise(df.withColumn("__row", F.monotonically_increasing_id()), f"{name}_rows")
     keys = [*[F.col(c).asc_nulls_first() for c in group], *order, F.col("__row")]
-    schema = T.StructType([*stored.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType()), T.StructField(out, T.LongType())])
+    # Plain names while Python has the rows: a column's own may hold a dot.
+    plain = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(stored.schema.fields)]
+    grouped = [f"c{stored.columns.index(c)}" for c in group]
+    new = [T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType()), T.StructField(out, T.LongType())]
+    schema = T.StructType([*plain, *new])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, run, last = TaskContext.get().partitionId(), 0, 0, None
@@ -64,13 +68,14 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], name
             if not n:
                 continue
             index = np.arange(at, at + n)
-            starts = np.where(_same_as_before(batch, group, last), run, index)
+            starts = np.where(_same_as_before(batch, grouped, last), run, index)
             starts = np.maximum.accumulate(starts)
-            run, at, last = int(starts[-1]), at + n, [batch.column(c)[n - 1].as_py() for c in group]
-            new = [pa.array(np.full(n, part), pa.int32()), pa.array(index), pa.array(index - starts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.fieldNames())
+            run, at, last = int(starts[-1]), at + n, [batch.column(c)[n - 1].as_py() for c in grouped]
+            added = [pa.array(np.full(n, part), pa.int32()), pa.array(index), pa.array(index - starts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.fieldNames())
 
-    placed = materialise(sorted_ranges(stored, keys).mapInArrow(number, schema), f"{name}_places")
+    numbered = sorted_ranges(stored, keys).toDF(*[f.name for f in plain]).mapInArrow(number, schema)
+    placed = materialise(numbered.toDF(*stored.columns, *[f.name for f in new]), f"{name}_places")
     of = F.struct(*[F.col(c) for c in group], F.lit(0).alias("__none"))
     ends = placed.groupBy("__part").agg(
         F.min_by(of, "__at").alias("first"), F.max_by(of, "__at").alias("last"), F.max_by(out, "__at").alias("place"), F.max("__at").alias("at")
