@@ -38,7 +38,7 @@ def grams(text: Column, size: Column) -> Column:
     t = F.lower(text)
     n = F.length(t)
     runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(t, i, size))
-    return F.when(n == 0, F.array(F.lit(""))).when((size > 0) & (n >= size), F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return F.when((n == 0) & (size == 0), F.array(F.lit(""))).when((size > 0) & (n >= size), F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def gram_postings(targets: DataFrame, name_col: str, sizes: Column) -> DataFrame:

@@ -114,13 +114,14 @@ def by_header(spark: SparkSession, paths: DataFrame, options: dict[str, str] | N
     )
     heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
     for r in heads.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect():
-        reader = spark.read.option("header", "true").option("enforceSchema", "true")
+        reader = spark.read.option("enforceSchema", "true")
         for k, v in (options or {}).items():
             reader = reader.option(k, v)
-        names = [n.strip().strip('"').strip() for n in reader.csv(r["files"][:1]).columns]
+        # The header as a row, for a reader would rename columns that stand twice.
+        names = [(n or "").lstrip("\ufeff").strip() for n in reader.option("header", "false").csv(r["files"][:1]).first()]
         if len({n.lower() for n in names}) < len(names):
             raise ValueError(f"{r['files'][0]}: a column name stands twice in {r['header']!r}")
-        yield names, reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(r["files"])
+        yield names, reader.option("header", "true").schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(r["files"])
 
 
 def _run(spark: SparkSession, landing: str, checkpoint: str, take: Callable[[int, DataFrame], None]) -> int:
