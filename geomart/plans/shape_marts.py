@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geomart.functions import cells, features, rings, wkb
+from geomart.functions import cells, features, rings, text, wkb
 from geomart.operators import spatial
 from geomart.plans import spatial_marts as S
 from geomart.plans import views as V
 from geomart.plans.registry import register
+from geomart.session import scratch_path
+from geomart.sources import sinks
 from geomart.sources.tables import read_table
 
 # Houses whose left side is at 179.50 to 180.49 degrees.
@@ -26,8 +28,8 @@ def _crossing_rings(spark, sf):
     x, y = F.lit(17950) + (k * 37) % 100, V.lat_h(k)
     wrapped = lambda h: F.when(h > 18000, h - 36000).otherwise(h)
     point = [F.concat(F.lit("["), S._coord(wrapped(x + dx)), F.lit(","), S._coord(y + dy), F.lit("]")) for dx, dy in S.HOUSE]
-    text = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.concat_ws(",", *point), F.lit("]]}"))
-    return rings.with_polygon_from_geojson(c.select(k.alias("area_id"), text.alias("geojson")), "geojson").select("area_id", "ring")
+    shape = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.concat_ws(",", *point), F.lit("]]}"))
+    return rings.with_polygon_from_geojson(c.select(k.alias("area_id"), shape.alias("geojson")), "geojson").select("area_id", "ring")
 
 
 _Y0 = "-4700 + (c_custkey * 53 + c_custkey // 1300) % 1300"
@@ -83,10 +85,10 @@ def ring_validity(spark, sf):
     backward rings, and a text that is no polygon (X5)."""
     c = read_table(spark, sf, "customer", "c_custkey")
     k = F.col("c_custkey")
-    text = F.lit('{"type":"Point","coordinates":[1,2]}')
+    shape = F.lit('{"type":"Point","coordinates":[1,2]}')
     for i, (outline, _) in enumerate(OUTLINES):
-        text = F.when(k % 6 == i, S._geojson(V.lon_h(k), V.lat_h(k), outline)).otherwise(text)
-    r = rings.with_polygon_from_geojson(c.select(k.alias("area_id"), text.alias("geojson")), "geojson")
+        shape = F.when(k % 6 == i, S._geojson(V.lon_h(k), V.lat_h(k), outline)).otherwise(shape)
+    r = rings.with_polygon_from_geojson(c.select(k.alias("area_id"), shape.alias("geojson")), "geojson")
     return spatial.ring_validity(r.select("area_id", "ring"), "ring", "area_id")
 
 
@@ -106,6 +108,15 @@ def _coordinates(x, y, shape):
     return F.concat(F.lit("["), F.concat_ws(",", *[_coordinates(x, y, s) for s in shape]), F.lit("]"))
 
 
+def _shapes(k):
+    """GeoJSON text by the key; one of six is no geometry."""
+    out = F.lit('{"type":"Polygon"}')
+    for i, (kind, coordinates, _) in enumerate(GEOMETRIES):
+        body = F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), _coordinates(V.lon_h(k), V.lat_h(k), coordinates), F.lit("}"))
+        out = F.when(k % 6 == i, body).otherwise(out)
+    return out
+
+
 def _of_type(place: int) -> str:
     return " ".join(f"WHEN {i} THEN {c[place]}" for i, (_, _, c) in enumerate(GEOMETRIES))
 
@@ -121,11 +132,7 @@ def feature_centroid(spark, sf):
     text that is no geometry has none (X12, A15)."""
     c = read_table(spark, sf, "customer", "c_custkey")
     k = F.col("c_custkey")
-    text = F.lit('{"type":"Polygon"}')
-    for i, (kind, shape, _) in enumerate(GEOMETRIES):
-        body = F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), _coordinates(V.lon_h(k), V.lat_h(k), shape), F.lit("}"))
-        text = F.when(k % 6 == i, body).otherwise(text)
-    out = features.with_feature_centroid(c.select(k.alias("feature_id"), text.alias("geojson")), "geojson")
+    out = features.with_feature_centroid(c.select(k.alias("feature_id"), _shapes(k).alias("geojson")), "geojson")
     return out.select("feature_id", F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"))
 
 
@@ -141,3 +148,39 @@ def wkb_roundtrip(spark, sf):
     r = r.select("area_id", F.octet_length("wkb").alias("n_bytes"), wkb.read_wkb(F.col("wkb")).alias("g"))
     points = r.select("area_id", "n_bytes", F.col("g.type").alias("geom_type"), F.posexplode(F.col("g.parts")[0]).alias("pos", "p"))
     return points.select("area_id", "pos", "geom_type", "n_bytes", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+# ---- amenities: category, centroid, cell, area, partitioned sink ----------------------------
+
+TAGS = [("shop", "supermarket"), ("amenity", "school"), ("amenity", "doctors"), ("leisure", "park"), ("amenity", "bank"), ("amenity", "library"), ("shop", "bakery")]
+_TAG_SQL = {k: "CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (t, v) in enumerate(TAGS) if t == k) + " END" for k in ("shop", "amenity", "leisure")}
+
+
+@register(
+    "amenity_sink",
+    f"""WITH {S.FILL_SQL},
+c AS (SELECT c_custkey, {text.amenity_category_sql(_TAG_SQL)} AS amenity_type, CAST(16600 + (c_custkey * 37) % 1300 AS DOUBLE) AS x, CAST({_Y0} AS DOUBLE) AS y FROM customer),
+p AS (SELECT c_custkey, amenity_type, (x + CASE c_custkey % 6 {_of_type(0)} END) / 100 AS lon, (y + CASE c_custkey % 6 {_of_type(1)} END) / 100 AS lat
+      FROM c WHERE amenity_type IS NOT NULL AND c_custkey % 6 < 5),
+q AS (SELECT *, {cells.hex_cell_sql('lon', 'lat')} AS cell FROM p)
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'way/' ELSE 'node/' END || c_custkey AS osm_id, amenity_type, q.cell, b.area_id,
+       {S._sround('lon', 6)} AS lon, {S._sround('lat', 6)} AS lat FROM q LEFT JOIN bridge b ON b.cell = q.cell""",
+)
+def amenity_sink(spark, sf):
+    """Features of any geometry type -> category, centroid, cell and area, in a
+    sink partitioned by category, read back (A15, J12, X12, S12)."""
+    c = read_table(spark, sf, "customer", "c_custkey")
+    k = F.col("c_custkey")
+    tag = {t: F.lit(None).cast("string") for t in _TAG_SQL}
+    for i, (t, v) in enumerate(TAGS):
+        tag[t] = F.when(k % 7 == i, v).otherwise(tag[t])
+    fid = F.when(k % 2 == 0, F.concat(F.lit("way/"), k.cast("string"))).otherwise(k.cast("string"))
+    rows = c.select(text.normalise_feature_id(fid).alias("osm_id"), text.amenity_category(tag).alias("amenity_type"), _shapes(k).alias("geojson"))
+    placed = features.with_feature_centroid(rows.filter("amenity_type IS NOT NULL"), "geojson", "lon", "lat")
+    # Filtered before the cell is derived, and by a value that is there anyway.
+    placed = placed.filter(F.col("lon").isNotNull()).withColumn("cell", cells.hex_cell("lon", "lat"))
+    joined = placed.join(S.stored_bridge(spark, sf), "cell", "left")
+    path = scratch_path(spark, "amenity") + "/amenity"
+    out = joined.select("osm_id", "cell", "area_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "amenity_type")
+    sinks.write_partitioned(out, path, ["amenity_type"], sort_within=["cell", "osm_id"])
+    return spark.read.parquet(path).select("osm_id", "amenity_type", "cell", "area_id", "lon", "lat")

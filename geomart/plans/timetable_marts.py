@@ -9,11 +9,15 @@ so the service calendar decides which trips run on the day.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomart.functions import cells
-from geomart.operators import reach, timetable
+from geomart.operators import names, reach, score, timetable
 from geomart.plans import area_marts as A
+from geomart.plans import spatial_marts as S
 from geomart.plans import views as V
 from geomart.plans.registry import ORACLE, register
 from geomart.session import scratch_path
@@ -90,38 +94,66 @@ def timetable_matrix(spark, sf):
     return matrix(spark, sf)
 
 
-def stored_matrix(spark, sf):
-    """The matrix as a stored table with its lookup columns. The table also holds
-    an older version and another mode, which lookups must pass over."""
-    path = scratch_path(spark, "matrix")
-    now = matrix(spark, sf)
-    rows = lambda m, mode, version: reach.with_matrix_metadata(m, mode, F.col("feed"), version, "08:30", SERVICE_DATE).drop("feed")
-    reach.write_matrix(rows(now, MODE, VERSION), path)
-    written = spark.read.parquet(path).filter(F.col("computation_version") == VERSION)
-    base = written.select(F.col("feed_source").alias("feed"), "origin", "destination", "travel_minutes")
-    other = rows(base.withColumn("travel_minutes", F.col("travel_minutes") - 5), MODE, "v1")
-    other = other.unionByName(rows(base.withColumn("travel_minutes", F.lit(5).cast("bigint")), "car", VERSION))
-    reach.write_matrix(other, path + "-other")
-    return spark.read.parquet(path).unionByName(spark.read.parquet(path + "-other"))
+_paths: dict[tuple[str, str], str] = {}
+
+
+def stored_matrix_path(spark, sf):
+    """Where the matrix is stored with its lookup columns, written once in an
+    application. Next to it are rows of an older version and of another mode,
+    which lookups must pass over."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _paths:
+        path = scratch_path(spark, "matrix")
+        rows = lambda m, mode, version: reach.with_matrix_metadata(m, mode, F.col("feed"), version, "08:30", SERVICE_DATE).drop("feed")
+        reach.write_matrix(rows(matrix(spark, sf), MODE, VERSION), path)
+        base = spark.read.parquet(path).select(F.col("feed_source").alias("feed"), "origin", "destination", "travel_minutes")
+        older = rows(base.withColumn("travel_minutes", F.col("travel_minutes") - 5), MODE, "v1")
+        reach.write_matrix(older.unionByName(rows(base.withColumn("travel_minutes", F.lit(5).cast("bigint")), "car", VERSION)), path + "-other")
+        _paths[at] = path
+    return _paths[at]
 
 
 _AREA_CELL = cells.hex_cell_sql("lon", "lat")
 
 
-@register(
-    "reachable_areas_by_timetable",
-    f"WITH RECURSIVE {MATRIX_SQL},\n{V.AREA_SQL}"
-    + f""",
+_REACH_SQL = f"""
 ac AS (SELECT *, {_AREA_CELL} AS cell FROM area),
 oc AS (SELECT DISTINCT ta_name AS origin_ta, cell AS origin FROM ac),
-hits AS (SELECT DISTINCT oc.origin_ta, m.destination FROM oc JOIN tm m ON oc.origin = m.origin WHERE m.travel_minutes > 0 AND m.travel_minutes <= 60)
-SELECT DISTINCT h.origin_ta, a.area_id, a.area_name FROM hits h JOIN ac a ON a.cell = h.destination
-WHERE a.ta_name <> h.origin_ta AND a.population > 500""",
+hits AS (SELECT DISTINCT oc.origin_ta, m.destination FROM oc JOIN tm m ON oc.origin = m.origin WHERE m.travel_minutes > 0 AND m.travel_minutes <= 60),
+reach AS (SELECT DISTINCT h.origin_ta, a.area_id, a.area_name FROM hits h JOIN ac a ON a.cell = h.destination WHERE a.ta_name <> h.origin_ta AND a.population > 500)"""
+
+
+@register(
+    "reachable_areas_by_timetable",
+    f"WITH RECURSIVE {MATRIX_SQL},\n{V.AREA_SQL},{_REACH_SQL}\nSELECT * FROM reach",
 )
 def reachable_areas_by_timetable(spark, sf):
     """Areas within 60 minutes of any cell of each TA's areas, by the transit
     mode and the newest version of the stored matrix (J7, A11)."""
     a = V.area(spark, sf).withColumn("cell", cells.hex_cell("lon", "lat"))
     origins = a.select(F.col("ta_name").alias("origin_ta"), "area_id")
-    lookup = reach.matrix_lookup(stored_matrix(spark, sf), MODE, VERSION)
+    path = stored_matrix_path(spark, sf)
+    table = functools.reduce(DataFrame.unionByName, [spark.read.parquet(path + part) for part in ("", "-other")])
+    lookup = reach.matrix_lookup(table, MODE, VERSION)
     return reach.reachable_from(lookup, origins, a.select("cell", "area_id"), a.select("area_id", "area_name", "population"), "origin_ta", 60)
+
+
+@register(
+    "shortlist_by_timetable",
+    f"WITH RECURSIVE {MATRIX_SQL},\n{V.AREA_SQL},{_REACH_SQL},\n{A.HAZARD_LOOKUP_SQL}"
+    + """,
+s AS (SELECT r.origin_ta, r.area_id, r.area_name, a.weekly_rent, row_number() OVER (PARTITION BY r.origin_ta ORDER BY a.weekly_rent, r.area_id) AS rank
+      FROM reach r JOIN area a ON r.area_id = a.area_id LEFT JOIN hlk h ON r.area_id = h.area_id
+      WHERE a.weekly_rent <= 700 AND (h.flood_risk IS NULL OR h.flood_risk <> 'high'))
+SELECT origin_ta, area_id, area_name, weekly_rent, rank FROM s WHERE rank <= 4""",
+)
+def shortlist_by_timetable(spark, sf):
+    """Areas in reach by timetable, rent within budget, flood 'high' left out,
+    the four cheapest per origin TA (A21)."""
+    a = V.area(spark, sf).filter(F.col("weekly_rent") <= 700).select("area_id", "weekly_rent")
+    r = reachable_areas_by_timetable(spark, sf).join(a, "area_id")
+    of = S.stored_bridge(spark, sf).join(r.select("area_id").distinct(), "area_id", "left_semi")
+    h = score.hazard_levels(of.join(A.stored_hazards(spark, sf), "cell"), "area_id").select("area_id", "flood_risk")
+    c = r.join(h, "area_id", "left").filter(~F.col("flood_risk").eqNullSafe("high"))
+    top = names.top_k_per_group(c, ["origin_ta"], [F.col("weekly_rent"), F.col("area_id")], 4, salt_on="area_id")
+    return top.select("origin_ta", "area_id", "area_name", "weekly_rent", F.col("rank").cast("bigint").alias("rank"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from geomart.functions import text
 from geomart.operators import bridge as B
 from geomart.operators import reshape, score
+from geomart.operators.series import quarter_start
 from geomart.plans import landing_marts as L
 from geomart.plans import spatial_marts as S
 from geomart.plans import views as V
@@ -198,3 +199,46 @@ def run_log_rows(spark, sf):
     for part in (even, ~even):
         landing.append_run_log(spark, log, landing.run_log_rows(runs.filter(part)))
     return landing.read_run_log(spark, log).select(*landing.RUN_LOG_SCHEMA.fieldNames())
+
+
+_NZ = "New Zealand"
+
+
+def indicator_rows(spark, sf):
+    """Long indicators at several grains: per TA, per region and for the whole
+    country, each as a total (no ethnicity) and by order status in its place."""
+    o = V.orders_by_ta(spark, sf)
+    r = read_table(spark, sf, "nation", "n_nationkey", "n_regionkey").withColumnRenamed("n_nationkey", "_n")
+    o = o.join(r, F.col("c_nationkey") == F.col("_n")).withColumn("quarter", quarter_start("o_orderdate"))
+    grain = F.explode(F.array(
+        F.struct(F.lit("TA").alias("area_type"), F.col("n_name").alias("area_name")),
+        F.struct(F.lit("REGC").alias("area_type"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("area_name")),
+        F.struct(F.lit("NZ").alias("area_type"), F.lit(_NZ).alias("area_name")),
+    ))
+    rows = o.select("quarter", F.col("o_orderpriority").alias("series"), "o_orderstatus", "o_totalprice", grain.alias("g"))
+    ethnicity = F.explode(F.array(F.lit(None).cast("string"), F.col("o_orderstatus"))).alias("ethnicity")
+    rows = rows.select("quarter", "series", "o_totalprice", "g.*", ethnicity)
+    return rows.groupBy("area_type", "area_name", "quarter", "series", "ethnicity").agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value")
+    )
+
+
+_SERIES = [("1-URGENT", "urgent", "double"), ("2-HIGH", "high", "double"), ("5-LOW", "low", "double")]
+
+
+@register(
+    "indicator_pivot",
+    """WITH l AS (SELECT n_name, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, o_orderpriority AS series, CAST(o_totalprice AS DECIMAL(18,2)) AS v
+           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT n_name AS area_name, quarter, series, v FROM l UNION ALL SELECT 'New Zealand', quarter, series, v FROM l)
+SELECT area_name, quarter, """
+    + ", ".join(f"CAST(sum(v) FILTER (series = '{s}') AS DOUBLE) AS {o}" for s, o, _ in _SERIES)
+    + " FROM t WHERE series IN ("
+    + ", ".join(f"'{s}'" for s, _, _ in _SERIES)
+    + ") GROUP BY 1, 2",
+)
+def indicator_pivot(spark, sf):
+    """Indicators kept before the pivot: TA and national rows, totals over
+    ethnicity, listed series only (G4, A8)."""
+    rows = indicator_rows(spark, sf).filter(F.col("area_type").isin("TA", "NZ") & F.col("ethnicity").isNull() & F.col("series").isin([s for s, _, _ in _SERIES]))
+    return reshape.series_pivot(rows, ["area_name", "quarter"], _SERIES)
