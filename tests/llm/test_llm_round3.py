@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from geomart.llm import merkle, mixing, trie
+from geomart.llm import decontam, linededup, merkle, mixing, ngramjoin, trie
 from geomart.llm.positions import positions
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size string, `a.b` int, path string"
@@ -250,3 +250,62 @@ def test_queue_gives_messages_in_order_from_spilled_runs():
         want.setdefault(k, []).append((i, i))
     for k in sorted(want):
         assert sorted(queue.take(k)) == sorted(want[k])
+
+
+# 5, 8, 2: what changed ----------------------------------------------------------
+def test_line_passages_equal_plain_version(spark):
+    rng = np.random.default_rng(21)
+    lines = [f"line {i}" for i in range(30)] + ["", "é ü", "x"]
+    rows = [(i, "\n".join(rng.choice(lines, rng.integers(1, 14)))) for i in range(120)]
+    rows += [(200 + i, "\n".join([f"own {i}", *[f"long {j}" for j in range(25)], f"end {i}"])) for i in range(20)]
+    rows += [(400, "\n".join(["x"] * 9)), (401, "\n".join(["x"] * 4)), (402, "\n" * 6), (403, "a\nb\nc\na\nb\nc\na\nb"), (404, None), (405, ""), (406, LONG + "\n" + LONG), (407, "k\n" + LONG + "\n" + LONG)]
+    first, want = {}, {}
+    for i, t in rows:
+        for k, pair in enumerate(itertools.pairwise((t or "").split("\n"))):
+            first.setdefault(pair, (i, k))
+    for i, t in rows:
+        gone = set()
+        for k, pair in enumerate(itertools.pairwise((t or "").split("\n"))):
+            if first[pair] not in ((i, k), (i, k - 1)):
+                gone |= {k, k + 1}
+        want[i] = (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone))
+    docs = spark.createDataFrame([(i, t, 9, "a") for i, t in rows], "doc_id long, text string, n_removed_lines int, `x.y` string").repartition(6)
+    out = linededup.remove_repeated_passages(docs)
+    assert out.columns == ["doc_id", "text", "x.y", "n_lines", "n_removed_lines"]
+    assert {r.doc_id: (r.text, r.n_removed_lines) for r in out.collect()} == want
+    assert sum(n for _, n in want.values()) > 500
+
+
+def test_lines_that_went_by_a_shared_hash_come_back():
+    import pandas as pd
+
+    unit = lambda line, body, h, gone=True: {"line": line, "n": body.count(b"\n") + 1, "h": h, "gone": gone, "body": body}
+    cut = pd.DataFrame({"text": ["a\nf", None, "x"], "n_lines": [6, 0, 1], "units": [[unit(1, b"b\nc", 7), unit(2, b"c\nd", 8), unit(3, b"d\ne", 7), unit(0, b"a\nb", 9, False)], None, []]})
+    out = linededup._restore({(7, 2)}).func(cut)
+    assert out.values.tolist() == [["a\nb\ne\nf", 6, 2], [None, 0, 0], ["x", 1, 0]]
+
+
+def test_bitmap_keeps_every_member(spark):
+    docs = spark.range(5000).select((F.col("id") - 2500).alias("doc_id"), F.xxhash64("id").alias("_k"), F.lit("t").alias("text"))
+    members = docs.filter("doc_id % 10 = 0").select("doc_id", "_k")
+    kept = ngramjoin._among(docs, members)
+    assert kept.join(members, ["doc_id", "_k"]).count() == 500 and kept.count() < 520
+    assert ngramjoin._among(docs, members.limit(0)).count() == 0
+
+
+def test_bands_are_as_many_as_the_recall_needs():
+    bands, rows = ngramjoin.choose_bands(0.1, 0.9999, 16)
+    assert rows == 1 and 1 - (1 - 0.1) ** bands >= 0.9999
+
+
+def test_copies_in_other_punctuation_or_edited_at_the_rare_word_are_found(spark):
+    rng = np.random.default_rng(4)
+    common = [f"w{i}" for i in range(60)]
+    say = lambda n: list(rng.choice(common, n))
+    item = [*say(9), "zyzzyva", *say(9)]
+    edited = ["other" if w == "zyzzyva" else w for w in item]
+    quoted = [f"\u201c{w}\u201d" if i % 3 == 0 else w + "\u2014" for i, w in enumerate(item)]
+    docs = [(i, " ".join(say(200))) for i in range(60)] + [(100, " ".join([*say(40), *edited, *say(40)])), (101, " ".join([*say(40), *quoted, *say(40)]))]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    found = {r.doc_id: r.score for r in got.collect()}
+    assert found[100] > 0.85 and found[101] == 1.0
