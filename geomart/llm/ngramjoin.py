@@ -41,6 +41,8 @@ RECALL = 0.9999
 MOST_HASHES = 128
 #: Documents in a block of a group, and in a task's unit of small groups.
 BLOCK = 512
+#: Bits of the filter that keeps texts without candidates from the shuffle (8 MB).
+FILTER_BITS = 1 << 26
 
 _SIGNED = "doc_id long, _k long, w1 long, w2 long, n_grams int, bands array<long>"
 
@@ -48,12 +50,13 @@ _SIGNED = "doc_id long, _k long, w1 long, w2 long, n_grams int, bands array<long
 def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
     """Bands and rows: the most rows (fewest chance candidates) with which a
     pair at the threshold shares a band with probability ``recall`` and at most
-    ``most`` hashes are needed."""
-    found = (1, 1)
+    ``most`` hashes are needed; bands of one row, as many as that takes, where
+    even these need more."""
+    found = None
     for rows in range(1, most + 1):
         hit = threshold**rows
         bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
-        if bands * rows > most:
+        if found and bands * rows > most:
             break
         found = (bands, rows)
     return found
@@ -158,6 +161,24 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
+def _among(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without most rows that are not ``members`` (by ``doc_id, _k``):
+    those whose bit is not set in a bitmap of ``FILTER_BITS`` bits, which comes
+    to the driver in at most ``FILTER_BITS / 64`` words and goes to the tasks."""
+    bit = F.xxhash64("doc_id", "_k").bitwiseAND(FILTER_BITS - 1)
+    words = members.select(bit.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def has_bit(b: pd.Series) -> pd.Series:
+        b = b.to_numpy()
+        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return docs.filter(has_bit(bit))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_key, class_id, n_links,
     n_text_links``.
@@ -186,7 +207,8 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = THRESH
     blocked = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = materialise(blocked.join(nodes.select("node", "doc_id", "_k", "copies"), "node"), "members")
-    body = keyed.filter("doc_id IS NOT NULL").join(members, ["doc_id", "_k"])
+    # Few texts have candidates: the others are left out before the shuffle.
+    body = _among(keyed.filter("doc_id IS NOT NULL"), members).join(members, ["doc_id", "_k"])
     spread = body.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "component", "node", "copies", "block", "text",
         F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
