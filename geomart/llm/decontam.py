@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Both sides are words in lower case without punctuation. An n-gram of a test
+Both sides are words in lower case without punctuation (of any script). An n-gram of a test
 item is a seed if it is rare, that is if its words together carry at least
 ``RARE_NATS`` nats under the unigram frequencies of the whole corpus; so a seed
 hits one position in exp(RARE_NATS) by chance at any corpus size, and an item
-that was copied into very many documents keeps its seeds. An item with fewer
-than ``LEAST_SEEDS`` rare n-grams takes all of them, rare or not, since its
-rarest ones stand around the same word and a copy edited there has none. Passages around seed
+that was copied into very many documents keeps its seeds. Rare
+n-grams often stand around one word, and a copy edited there has none of them, so
+every stretch of an item without a rare one has its rarest as a seed. Passages around seed
 hits are aligned with the whole item; the score is the best local alignment
 over that of a perfect copy.
 
@@ -21,6 +21,7 @@ an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,6 @@ from geomart.llm.words import WORDS_ONLY, token_hashes, window_hashes
 
 SEED_WORDS = 3
 RARE_NATS = 18.0
-LEAST_SEEDS = 4
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of item text in a block, on average; a block is broadcast with its task.
@@ -60,8 +60,16 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+#: Punctuation beyond ASCII, as white space.
+_PUNCTUATION = {c: " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c))[0] == "P"}
+
+
+def _plain(text: str) -> str:
+    return text.lower() if text.isascii() else text.lower().translate(_PUNCTUATION)
+
+
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return token_hashes([t.lower() if isinstance(t, str) else None for t in texts], WORDS_ONLY)
+    return token_hashes([_plain(t) if isinstance(t, str) else None for t in texts], WORDS_ONLY)
 
 
 def _count_words(vocabulary: np.ndarray):
@@ -80,7 +88,7 @@ def _count_words(vocabulary: np.ndarray):
     return count
 
 
-def rare_seeds(items: list[np.ndarray], nats: dict[int, float], width: int, rare: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rare_seeds(items: list[np.ndarray], nats: dict[int, float], width: int, rare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted seed hashes, and for each its item and place in the item."""
     seeds, of, place = [], [], []
     for i, words in enumerate(items):
@@ -88,9 +96,10 @@ def rare_seeds(items: list[np.ndarray], nats: dict[int, float], width: int, rare
         if not len(grams):
             continue
         carried = np.convolve([nats[w] for w in words.tolist()], np.ones(width), "valid")
-        chosen = np.flatnonzero(carried >= rare)
-        if len(chosen) < least:
-            chosen = np.arange(len(grams))
+        # The rarest of each stretch that one edited word can spoil, and all rare ones.
+        stretches = [a + int(carried[a : a + width].argmax()) for a in range(0, len(grams), width)]
+        spoiled = [s for s in stretches if not (carried[s // width * width :][:width] >= rare).any()]
+        chosen = np.unique(np.concatenate([np.flatnonzero(carried >= rare), np.array(spoiled, np.int64)]))
         seeds.append(grams[chosen])
         of.append(np.full(len(chosen), i))
         place.append(chosen)
@@ -178,7 +187,7 @@ def leaks(
         for r in counted:
             n[r["word"]] = r["n"]
         share = (n[:-1] + 1) / (n[-1] + len(vocabulary))
-        seeds, of, place = rare_seeds(mine, dict(zip(vocabulary.tolist(), (-np.log(share)).tolist())), width, rare, LEAST_SEEDS)
+        seeds, of, place = rare_seeds(mine, dict(zip(vocabulary.tolist(), (-np.log(share)).tolist())), width, rare)
         if len(seeds):
             out = out.unionByName(named.mapInPandas(_align([r["item_id"] for r in rows], mine, seeds, of, place, width, least_score), FOUND))
     return out
