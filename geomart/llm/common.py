@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The table cuts the lineage; when an executor is lost, later stages read
     the files again instead of recomputing what led to them.
     """
     path = scratch_path(df.sparkSession, "llm", name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,13 +65,21 @@ def carried(docs: DataFrame, added: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
 
 
+#: Bytes of an Arrow batch that a Python worker holds, unless the session says
+#: otherwise: texts are long, and the default of 64 MB is a few hundred as strings.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of the session, once: they need
-    not have it on their path, nor share a folder with the driver."""
+    not have it on their path, nor share a folder with the driver. Arrow batches
+    of the session get a bound that suits long texts."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
