@@ -2,7 +2,9 @@
 it kept, written as Parquet in between.
 
 A stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of
-``docs``. Rows with a null ``doc_id`` pass the near-duplicate stage, where they
+``docs``. A null text is kept as null, an empty one as empty, texts of any length
+go through whole, and an empty table gives an empty one. Rows with a null
+``doc_id`` pass the near-duplicate stage, where they
 belong to no class; rows that repeat both id and text count as copies there.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomart.llm.common import ship, table, text_key
-from geomart.llm.linededup import remove_repeated_chunks
+from geomart.llm.linededup import remove_repeated_passages
 from geomart.llm.ngramjoin import similar_documents
 from geomart.llm.queries import good_documents, leaked, packed
 from geomart.session import scratch_path
@@ -44,8 +46,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that stand elsewhere before."""
-    cut = remove_repeated_chunks(docs)
+    """Texts without the passages of two lines or more that stand elsewhere before."""
+    cut = remove_repeated_passages(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*_columns(docs))
