@@ -8,6 +8,8 @@ toxic one are what the window says. A logistic model over statistics of all
 windows of a document turns them into a probability; it is calibrated to the
 label shares of the whole labelled table.
 
+Where there are fewer than 200 samples, a dictionary is the samples themselves.
+
 Labels are learned from a bounded sample: at most ``MOST_TOXIC`` toxic and
 ``MOST_ORDINARY`` ordinary documents, those with the smallest keyed hash of
 their id. Everything that is collected comes from that sample. All windows of
@@ -47,7 +49,13 @@ GRAM = 5
 #: share of the number of its documents) have it, and its share of all words is
 #: that much higher there. Words count once a document. By words, because a
 #: long ordinary document has most n-grams of its language once.
-LEAST_SHARE, LEAST_WORDS, LEAST_ODDS = 0.01, 8, 12.0
+#: The bound was chosen by three-fold cross-validation over the learning rows of
+#: sf0.1 alone (``tests/llm/choose_odds.py``; log loss for 5, 8, 12 and 20: 0.140,
+#: 0.125, 0.136, 0.154).
+LEAST_SHARE, LEAST_WORDS, LEAST_ODDS = 0.01, 8, 8.0
+#: Times that a word stands in the training text of the toxic dictionary at most:
+#: the trainer weighs substrings by frequency, and one word must not fill it.
+MOST_REPEATS = 500
 LEVELS = (1, 2, 3, 4, 5, 6)
 
 _BLANK = bytes(32 if chr(b) in string.punctuation or chr(b) in string.digits or b < 32 else b for b in range(256))
@@ -194,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: Column, learn: Column, most_t
             yield pd.DataFrame({"window": [w for t in frame["text"] for w in windows(t)]})
 
     counted = sample.filter("toxic = 1").mapInPandas(marked, "word binary").groupBy("word").agg(F.count("*").alias("n"))
-    words = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect() for _ in range(min(r["n"], 500))]
+    words = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect() for _ in range(min(r["n"], MOST_REPEATS))]
     plain = sample.filter("toxic = 0").mapInPandas(cut, "window binary").distinct()
     ordinary = [bytes(r["window"]) for r in plain.orderBy(F.xxhash64("window"), "window").limit(MOST_WINDOWS).collect()]
     np.random.default_rng(7).shuffle(words)
