@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geomart.session import ensure_checkpoint_dir
+from geomart.session import ensure_checkpoint_dir, scratch_path
+
+
+#: Copies of the edges that leave a node, one for each share of the labels there,
+#: so that a node where very many paths meet is no single key.
+SALTS = 8
 
 
 def _prepare_edges(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame:
@@ -19,14 +24,14 @@ def _nodes(e: DataFrame) -> DataFrame:
     return e.select(F.col("_src").alias("node")).union(e.select(F.col("_dst").alias("node"))).distinct()
 
 
-def _relax(frontier: DataFrame, e: DataFrame, cap_minutes: int) -> DataFrame:
-    """Best new arrival per (origin, node) one edge beyond the frontier."""
+def _extend(frontier: DataFrame, e: DataFrame, cap_minutes: int) -> DataFrame:
+    """New arrivals one edge beyond the frontier, several per pair maybe."""
+    salted = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    front = frontier.withColumn("_salt", F.pmod(F.xxhash64("origin"), F.lit(SALTS)).cast("int"))
     return (
-        frontier.join(e, frontier.node == e._src)
-        .select("origin", F.col("_dst").alias("node"), (F.col("minutes") + F.col("_w")).alias("minutes"))
-        .filter(F.col("minutes") <= cap_minutes)
-        .groupBy("origin", "node")
-        .agg(F.min("minutes").alias("minutes"))
+        front.join(salted, (front.node == salted._src) & (front["_salt"] == salted["_salt"]))
+        .select("origin", F.col("_dst").alias("node"), (F.col("minutes") + F.col("_w")).alias("new"))
+        .filter(F.col("new") <= cap_minutes)
     )
 
 
@@ -51,28 +56,33 @@ def travel_time_matrix(
 
     Min-plus relaxation as DataFrame joins: each round joins only the labels
     improved in the previous round (the frontier) with the edges on the node
-    and keeps the minimum per (origin, node), until nothing improves. Edge
+    and keeps those that beat all earlier ones, until nothing improves. Edge
     minutes are not negative, so the cap bounds the rounds. The cap is applied
     before bucketing to the nearest ``bucket`` minutes (half-even); every node
-    of an edge has a 0-minute row for itself. Labels and frontier are
-    checkpointed each round: a lost executor recomputes one round at most.
+    of an edge has a 0-minute row for itself.
+
+    Labels are an append-only log, a folder per round; a round adds what it
+    improved, and the best label per pair is taken once, at the end. A lost
+    executor costs a part of one round.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
     e = _prepare_edges(edges, src, dst, weight)
-    labels = _nodes(e).select(F.col("node").alias("origin"), "node", F.lit(0).cast("bigint").alias("minutes")).checkpoint()
-    frontier = labels
+    log = scratch_path(spark, "labels")
+    start = _nodes(e).select(F.col("node").alias("origin"), "node", F.lit(0).cast("bigint").alias("minutes"))
+    start.write.parquet(f"{log}/round=0")
+    read = lambda *rounds: spark.read.schema(start.schema).parquet(*[f"{log}/round={r}" for r in rounds])
+    last = 0
     while True:
-        frontier = (
-            _relax(frontier, e, cap_minutes)
-            .join(labels.withColumnRenamed("minutes", "_old"), ["origin", "node"], "left")
-            .filter(F.col("_old").isNull() | (F.col("minutes") < F.col("_old")))
-            .select("origin", "node", "minutes")
-            .checkpoint()
-        )
-        if frontier.isEmpty():
+        new = _extend(read(last), e, cap_minutes).select("origin", "node", F.lit(None).cast("bigint").alias("old"), "new")
+        known = read(*range(last + 1)).select("origin", "node", F.col("minutes").alias("old"), F.lit(None).cast("bigint").alias("new"))
+        best = known.unionByName(new).groupBy("origin", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        better = best.filter(F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old"))))
+        last += 1
+        better.select("origin", "node", F.col("new").alias("minutes")).write.parquet(f"{log}/round={last}")
+        if read(last).isEmpty():
+            labels = read(*range(last)).groupBy("origin", "node").agg(F.min("minutes").alias("minutes"))
             return _bucketed(labels, bucket)
-        better = frontier.withColumnRenamed("minutes", "_new")
-        labels = labels.join(better, ["origin", "node"], "full").select("origin", "node", F.coalesce("_new", "minutes").alias("minutes")).checkpoint()
 
 
 def reachable_from(

@@ -135,6 +135,19 @@ def cell_bridge(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     return polyfill(df, ring_col, id_col).groupBy("cell").agg(F.min(id_col).alias(id_col))
 
 
+#: Shares that the facts of a cell are cut into when they meet its area.
+FACT_SALTS = 8
+
+
+def facts_to_areas(facts: DataFrame, bridge: DataFrame, cell: str = "cell", salt_on: str | None = None, salts: int = FACT_SALTS) -> DataFrame:
+    """``facts`` left-joined to ``bridge`` on the cell (X11, J12). A cell with
+    very many facts (a city centre) is cut into ``salts`` keys, by ``salt_on``
+    or the whole row; the bridge has one row per cell and is copied to each."""
+    by = F.xxhash64(salt_on) if salt_on else F.xxhash64(*[F.col(c) for c in facts.columns])
+    shared = bridge.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return facts.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(shared, [cell, "_salt"], "left").drop("_salt")
+
+
 def hazard_polygon_cells(df: DataFrame, ring_col: str, id_col: str, keys: list[str], mode: str = "centroid") -> DataFrame:
     """Cells of hazard polygons, de-duplicated over ``keys``.
 

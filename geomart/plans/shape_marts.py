@@ -179,7 +179,7 @@ def amenity_sink(spark, sf):
     placed = features.with_feature_centroid(rows.filter("amenity_type IS NOT NULL"), "geojson", "lon", "lat")
     # Filtered before the cell is derived, and by a value that is there anyway.
     placed = placed.filter(F.col("lon").isNotNull()).withColumn("cell", cells.hex_cell("lon", "lat"))
-    joined = placed.join(S.stored_bridge(spark, sf), "cell", "left")
+    joined = spatial.facts_to_areas(placed, S.stored_bridge(spark, sf), salt_on="osm_id")
     path = scratch_path(spark, "amenity") + "/amenity"
     out = joined.select("osm_id", "cell", "area_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "amenity_type")
     sinks.write_partitioned(out, path, ["amenity_type"], sort_within=["cell", "osm_id"])

@@ -268,4 +268,4 @@ SELECT oc.o_orderkey, oc.cell, b.area_id FROM oc LEFT JOIN bridge b ON oc.cell =
 def cell_to_area_join(spark, sf):
     """Fact point -> cell -> area key by an equi-join on the cell."""
     facts = order_points(spark, sf).select("o_orderkey", cells.hex_cell("lon", "lat").alias("cell"))
-    return facts.join(stored_bridge(spark, sf), "cell", "left").select("o_orderkey", "cell", "area_id")
+    return spatial.facts_to_areas(facts, stored_bridge(spark, sf), salt_on="o_orderkey").select("o_orderkey", "cell", "area_id")

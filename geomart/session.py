@@ -25,7 +25,8 @@ DEFAULT_CONF = {
 }
 
 # Only meaningful when this process starts the JVM (local runs, tests, bench).
-LOCAL_CONF = {"spark.driver.memory": "10g"}
+# Python workers need their share of the machine too.
+LOCAL_CONF = {"spark.driver.memory": "8g"}
 
 
 def build_session(

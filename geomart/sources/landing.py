@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from geomart.functions.text import path_part
 from geomart.session import ensure_checkpoint_dir
 from geomart.sources.files import optional_parquet
+from geomart.sources.types import LATTICE, widest
 
 DATE_IN_PATH = r"(\d{4}-\d{2}-\d{2})"
 
@@ -95,11 +96,16 @@ def latest_file_union(
 
 def union_evolving(frames: Sequence[DataFrame]) -> DataFrame:
     """Additive schema evolution: union by name; columns missing from older
-    landings become NULL (S3)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    landings become NULL, and a column whose type differs between landings has
+    the least type that holds all, or text (S3)."""
+    kinds: dict[str, str] = {}
+    for f in frames:
+        for name, kind in f.dtypes:
+            before = kinds.setdefault(name, kind)
+            if before != kind:
+                kinds[name] = widest(before, kind) if before in LATTICE and kind in LATTICE else "string"
+    cast = [f.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in f.columns]) for f in frames]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
 def run_log_rows(attempts: DataFrame) -> DataFrame:

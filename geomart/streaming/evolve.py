@@ -22,31 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomart.sources.files import optional_parquet, with_provenance
+from geomart.sources.types import LATTICE, widest
 from geomart.streaming.landing import run_available_now
 
 PROVENANCE = ("_source_file", "_source", "_run_date")
 RESERVED = {*PROVENANCE, "_ingested_at"}
 
-#: Types from narrow to wide; two types meet in the first one above both.
-LATTICE = {
-    "boolean": ("boolean", "string"),
-    "bigint": ("bigint", "double", "string"),
-    "double": ("double", "string"),
-    "date": ("date", "timestamp_ntz", "string"),
-    "timestamp_ntz": ("timestamp_ntz", "string"),
-    "string": ("string",),
-}
-
 _SCHEMA_ROWS = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
 
 
-def widest(a: str | None, b: str | None) -> str | None:
-    """The least type that holds values of both; ``None`` has no values yet."""
-    if a is None or b is None:
-        return a or b
-    return next(t for t in LATTICE[a] if t in LATTICE[b])
-
-
 def _fits(value: Column, kind: str) -> Column:
     if kind == "boolean":
         return F.lower(value).isin("true", "false")
