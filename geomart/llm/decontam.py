@@ -60,16 +60,12 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-#: Punctuation beyond ASCII, as white space.
-_PUNCTUATION = {c: " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c))[0] == "P"}
-
-
-def _plain(text: str) -> str:
-    return text.lower() if text.isascii() else text.lower().translate(_PUNCTUATION)
+#: Which characters beyond ASCII are punctuation.
+_PUNCTUATION = np.array([c >= 0x80 and unicodedata.category(chr(c))[0] == "P" for c in range(1 << 16)])
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return token_hashes([_plain(t) if isinstance(t, str) else None for t in texts], WORDS_ONLY)
+    return token_hashes([t.lower() if isinstance(t, str) else None for t in texts], WORDS_ONLY, _PUNCTUATION)
 
 
 def _count_words(vocabulary: np.ndarray):

@@ -65,10 +65,24 @@ def _run_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     return out
 
 
-def token_hashes(texts: Sequence[str | None], classes: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+def _part(kind: np.ndarray, buf: np.ndarray, parting: np.ndarray) -> None:
+    """Make the UTF-8 bytes of characters in the table ``parting`` (by code
+    point, up to U+FFFF) white space."""
+    for n, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0)):
+        at = np.flatnonzero((buf >= low) & (buf < high))
+        code = buf[at].astype(np.int64) & (0xFF >> (n + 1))
+        for i in range(1, n):
+            code = code << 6 | buf[at + i] & 63
+        at = at[parting[code]]
+        for i in range(n):
+            kind[at + i] = 0
+
+
+def token_hashes(texts: Sequence[str | None], classes: np.ndarray = WHITE, parting: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of ``texts`` and the token offsets of each text.
 
-    A token is a run of bytes of one class other than white space. Returns
+    A token is a run of bytes of one class other than white space; characters
+    beyond ASCII that are true in ``parting`` are white space too. Returns
     ``(hashes, offsets)``; text ``i`` has ``hashes[offsets[i]:offsets[i + 1]]``.
     A null text has no tokens.
     """
@@ -76,6 +90,8 @@ def token_hashes(texts: Sequence[str | None], classes: np.ndarray = WHITE) -> tu
     ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     kind = classes[buf]
+    if parting is not None:
+        _part(kind, buf, parting)
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     starts = np.concatenate([np.zeros(1, np.int64), edge])
     stops = np.concatenate([edge, np.array([len(buf)])])
