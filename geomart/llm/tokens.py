@@ -39,6 +39,15 @@ _TOGETHER = 4000
 #: How the tokenizer files write the space before a word and the end of a word.
 _SPACE, _WORD_END = "\u0120", "</w>"
 
+def _byte_letters() -> dict[int, str]:
+    """Bytes as the letters that byte-level tokenizer files write for them: those
+    that print stand for themselves, the others follow from U+0100 on."""
+    prints = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 #: Leading bits of a hash that the table is entered by.
 _HEAD_BITS = 19
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -153,6 +162,13 @@ class PieceEncoder:
         self.closes = self.begins.copy()
         self.begins[[i for token, i in vocab.items() if token[0] == _SPACE]] = True
         self.closes[[i for token, i in vocab.items() if token.endswith(_WORD_END)]] = True
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.lowers, self.lead = one(" A") == one(" a"), "" if self.closes.any() else _SPACE
+        # The short way is taken if it gives the same ids for every letter, alone,
+        # doubled and within a word.
+        letters = [chr(c) for c in range(0x250) if _RUN.fullmatch(chr(c))]
+        probe = [x for c in letters for x in (c, 2 * c, f"the{c}ing", f"{c}on")]
+        self.direct = self._merged(probe) == self._together(probe)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -161,7 +177,28 @@ class PieceEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _word(self, run: str) -> str:
+        """A letter run after a space as the merges of the tokenizer see it: its
+        bytes as letters, in lower case if the tokenizer lowers case."""
+        word = run.lower() if self.lowers else run
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return self.lead + word
+
+    def _merged(self, runs: list[str]) -> list[bytes]:
+        """Ids of letter runs by the merges alone, without normalising and
+        splitting again what is known to be one word."""
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for run in runs:
+            ids = [t.id for t in tokenize(self._word(run))]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of letter runs that follow a space."""
+        return self._merged(runs) if self.direct else self._together(runs)
+
+    def _together(self, runs: list[str]) -> list[bytes]:
         """Ids of letter runs that follow a space, many in one go.
 
         Each run has at least one token that begins a word, or one that ends
