@@ -57,7 +57,10 @@ def contains_matches(
     A query probes the index by the rarest of its grams (a query shorter than
     ``gram`` characters is one gram itself) and the name is then compared. The
     postings of every gram are cut into ``shares`` by target id and the probes
-    sent to each, so a gram that most names have is no single key.
+    sent to each, so a gram that most names have is no single key. The sizes of
+    exploded and checkpointed rows are not known to the planner, which would take
+    them for those of the table and broadcast the postings; so the joins are
+    shuffled and hash the side of the probes.
     """
     ensure_checkpoint_dir(queries.sparkSession)
     size = F.least(F.lit(gram), F.length(F.lower(F.col(query_col))))
@@ -66,11 +69,11 @@ def contains_matches(
     # Read by the count of each gram and by the probes: written once.
     postings = gram_postings(targets, name_col, sizes).checkpoint()
     count = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    probes = queries.select(query_col, F.explode(grams(F.col(query_col), size)).alias("gram")).join(count, "gram", "left")
+    probes = queries.select(query_col, F.explode(grams(F.col(query_col), size)).alias("gram")).join(count.hint("shuffle_hash"), "gram", "left")
     rarest = probes.groupBy(query_col).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     rarest = rarest.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     shared = postings.withColumn("_share", F.pmod(F.hash(id_col), F.lit(shares)))
-    found = rarest.join(shared, ["gram", "_share"])
+    found = shared.join(rarest.hint("shuffle_hash"), ["gram", "_share"])
     return found.filter(F.contains(F.lower(F.col(name_col)), F.lower(F.col(query_col)))).select(query_col, *targets.columns)
 
 
@@ -95,7 +98,7 @@ def resolve_names(
     cand = contains_matches(q, targets.select(id_col, name_col, rank_col), query_col, name_col, id_col).checkpoint()
     is_exact = F.col(name_col) == F.col(query_col)
     exact = cand.filter(is_exact).select(query_col, id_col, name_col, F.lit("exact").alias("match"))
-    rest = cand.filter(query_col + " <> ''").join(exact.select(query_col).distinct(), query_col, "left_anti")
+    rest = cand.filter(query_col + " <> ''").join(exact.select(query_col).distinct().hint("shuffle_hash"), query_col, "left_anti")
     fuzzy = top_k_per_group(
         rest,
         [query_col],
