@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomart.llm.common import carried, partitions_for, passes, text_key, total_text_bytes
-from geomart.llm.words import mix, token_hashes, window_hashes
+from geomart.llm.words import SLICE, mix, token_hashes, window_hashes
 
 #: Bytes of text whose windows one reducer compares, and that one run covers.
 REDUCER_BYTES = 24 << 20
@@ -49,6 +49,13 @@ def _unsqueeze(blob: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays in one; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _window_blobs(width: int, buckets: int):
     """Sends the windows of a run of documents: per bucket of hashes the sorted
     distinct hashes and, for each, the place in ``docs``/``keys`` of the first
@@ -65,15 +72,23 @@ def _window_blobs(width: int, buckets: int):
             hashes.append(h)
             owners.append(np.repeat(np.arange(done, done + len(part), dtype=np.uint32), np.diff(offsets)))
             done += len(part)
-        h, owner = np.concatenate(hashes), np.concatenate(owners)
+        # An array goes as soon as the next is made of it: all of them at once
+        # are many times the text, and more the shorter its words are.
+        h = _joined(hashes)
+        owner = _joined(owners)
         order = np.argsort(h, kind="stable")  # within a hash by document
-        h, owner = h[order], owner[order]
+        h = h[order]
+        owner = owner[order]
+        del order
         if not len(h):
             return
         new_hash = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(new_hash) - 1
+        group = np.cumsum(new_hash, dtype=np.uint32) - np.uint32(1)
         first_name = names[owner[new_hash]]
-        later = names[owner] > first_name[group]  # known to be repeated
+        later = np.empty(len(h), bool)  # known to be repeated
+        for a in range(0, len(h), SLICE):
+            later[a : a + SLICE] = names[owner[a : a + SLICE]] > first_name[group[a : a + SLICE]]
+        del group, first_name
         twice = np.concatenate([[False], (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])])
         same = ~new_hash & ~later & ~twice  # other rows of the first doc_id
         sent, late = new_hash | same, later & ~twice
@@ -111,23 +126,33 @@ _BLOBS = "bucket int, wide int, docs binary, keys binary, hashes binary, owners
 def _answers(frame: pd.DataFrame, groups: int) -> pd.DataFrame:
     """For one bucket: the windows that also start in a document with a smaller
     id, in one blob for each group of documents to answer."""
-    hashes, names, keys, told = [], [], [], []
+    hashes, places, told, names, keys = [], [], [], [], []
+    base = 0
     for r in frame.itertuples(index=False):
         kind = np.uint16 if r.wide == 2 else np.uint32
         docs, key = _unsqueeze(r.docs, np.int64), np.frombuffer(r.keys, np.int64)
         for h, o, late in ((r.hashes, r.owners, False), (r.late_hashes, r.late_owners, True)):
             h, o = _unsqueeze(h, np.uint64), _unsqueeze(o, kind)
             hashes.append(h)
-            names.append(docs[o])
-            keys.append(key[o])
+            places.append(o.astype(np.uint32) + np.uint32(base))
             told.append(np.full(len(h), late))
-    h, name, key, late = map(np.concatenate, (hashes, names, keys, told))
+        names.append(docs)
+        keys.append(key)
+        base += len(docs)
+    # A window has the place of its document; ids and keys follow for those that go.
+    h, place, gone, name_at, key_at = _joined(hashes), _joined(places), _joined(told), _joined(names), _joined(keys)
     order = np.argsort(h, kind="stable")
-    h, name, key, late = h[order], name[order], key[order], late[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-    least = np.repeat(np.minimum.reduceat(name, starts), np.diff(np.append(starts, len(h)))) if len(h) else name
-    gone = late | (name > least)
-    h, name, key = h[gone], name[gone], key[gone]
+    h = h[order]
+    place = place[order]
+    gone = gone[order]
+    del order
+    if len(h):
+        name = name_at[place]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        gone |= name > np.repeat(np.minimum.reduceat(name, starts), np.diff(np.append(starts, len(h))))
+        del name, starts
+    h, place = h[gone], place[gone]
+    name, key = name_at[place], key_at[place]
     group = (mix(name.view(np.uint64) ^ key.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
     order = np.lexsort((h, key, name, group))
     h, name, key, group = h[order], name[order], key[order], group[order]
