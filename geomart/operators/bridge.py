@@ -23,9 +23,10 @@ def overlap_shares(pairs: DataFrame, unit: str, area: str, scale: int = 6) -> Da
     n = pairs.groupBy(unit, area).agg(F.count(F.lit(1)).alias("n_overlap")).checkpoint()
     unit_tot = n.groupBy(unit).agg(F.sum("n_overlap").alias("unit_total"))
     area_tot = n.groupBy(area).agg(F.sum("n_overlap").alias("area_total"))
+    # By unit last: who joins the shares on it needs no further exchange.
     return (
-        n.join(unit_tot, unit)
-        .join(area_tot, area)
+        n.join(area_tot, area)
+        .join(unit_tot, unit)
         .select(
             unit,
             area,
@@ -55,13 +56,19 @@ def allocate(
     <= 0 are dropped. With ``places`` the values (of that many decimal places)
     are multiplied and summed as decimals, so the order of the sum is no matter.
     """
-    part = F.col(value) * F.col(share)
+    rate = F.col(share)
     if places is not None:
-        part = F.col(value).cast(f"decimal({15 + places},{places})") * F.col(share).cast("decimal(8,6)")
+        totals = totals.withColumn(value, F.col(value).cast(f"decimal({15 + places},{places})"))
+        rate = rate.cast("decimal(8,6)")
+    # A unit's periods meet its areas as one row and part only where an area's rows
+    # are: a group is then held once, and not in every task that has one of its units.
+    held = totals.groupBy(unit).agg(F.collect_list(F.struct(F.col(period).alias("p"), F.col(value).alias("v"))).alias("_h"))
+    held = held.select(unit, F.transform("_h", lambda h: h.p).alias("_periods"), F.transform("_h", lambda h: h.v).alias("_values"))
+    met = bridge.select(unit, area, share).join(held, unit).select(area, rate.alias("_rate"), "_periods", "_values").repartition(area)
+    each = met.select(area, "_rate", F.inline(F.arrays_zip(F.col("_periods").alias("p"), F.col("_values").alias("v"))).alias(period, "_value"))
     return (
-        totals.join(bridge.select(unit, area, share), unit, "inner")
-        .groupBy(area, period)
-        .agg(F.sum(part).alias("_raw"))
+        each.groupBy(area, period)
+        .agg(F.sum(F.col("_value") * F.col("_rate")).alias("_raw"))
         .select(area, period, F.round("_raw", 0).cast("bigint").alias(out))
         .filter(F.col(out) > 0)
     )
