@@ -5,11 +5,11 @@ board any trip that calls there; the earliest arrival from every cell at every
 other is found by label correction, a few joins per round. Times are whole
 minutes since midnight.
 
-Boarding means the first departure at or after an arrival. That as-of lookup is
-worked out once per (feed, from, to) edge: an array with, for every minute of
-the search window, the earliest arrival of any trip that leaves then or later.
-It has at most ``cap + 1`` entries, so a round is an equi-join on (feed, cell)
-and an array access, and trips that overtake each other are no special case.
+Boarding means the first departure at or after an arrival. Per (feed, from, to)
+edge the runs that no other run beats, leaving later and arriving no later, are
+one array of at most ``cap + 1`` entries, mostly one or two; a walk has its
+minutes instead. So a round is an equi-join on (feed, cell) of narrow rows, and
+trips that overtake each other are no special case.
 """
 
 from __future__ import annotations
@@ -50,27 +50,34 @@ def hops(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
 
 
 def ride_edges(legs: DataFrame, depart: int, cap: int) -> DataFrame:
-    """``feed, src, dst, at``: ``at[m + 1]`` is the earliest arrival, in minutes
-    after ``depart``, for who is at ``src`` ``m`` minutes after it."""
+    """``feed, src, dst, runs, walk``: ``runs`` has the departure and arrival, in
+    minutes after ``depart``, of every ride from ``src`` to ``dst`` that none
+    beats; ``walk`` is null."""
     window = legs.select(
         "feed", "src", "dst", (F.col("departure") - depart).cast("int").alias("leave"), (F.col("arrival") - depart).cast("int").alias("reach")
     ).filter((F.col("leave") >= 0) & (F.col("reach") <= cap))
     # One entry per minute of departure at most.
     best = window.groupBy("feed", "src", "dst", "leave").agg(F.min("reach").alias("reach"))
     board = best.groupBy("feed", "src", "dst").agg(F.collect_list(F.struct("leave", "reach")).alias("runs"))
-    later = F.transform(
-        F.sequence(F.lit(0), F.lit(cap)),
-        lambda m: F.array_min(F.transform(F.filter("runs", lambda r: r.leave >= m), lambda r: r.reach)),
-    )
-    return board.select("feed", "src", "dst", later.alias("at"))
+    kept = F.filter("runs", lambda r: ~F.exists("runs", lambda o: (o.leave > r.leave) & (o.reach <= r.reach)))
+    return board.select("feed", "src", "dst", kept.alias("runs"), F.lit(None).cast("int").alias("walk"))
 
 
-def walk_edges(places: DataFrame, minutes: int, cap: int) -> DataFrame:
-    """Walks between neighbouring cells of ``places`` (``feed, cell``)."""
+def walk_edges(places: DataFrame, minutes: int) -> DataFrame:
+    """Walks of ``minutes`` between neighbouring cells of ``places`` (``feed,
+    cell``), as rows like those of ``ride_edges``."""
     steps = places.select("feed", F.col("cell").alias("src"), F.explode(cells.kring("cell", 1)).alias("dst")).filter("src != dst")
     steps = steps.join(places.select("feed", F.col("cell").alias("dst")), ["feed", "dst"])
-    at = F.transform(F.sequence(F.lit(0), F.lit(cap)), lambda m: F.when(m + minutes <= cap, m + minutes))
-    return steps.select("feed", "src", "dst", at.alias("at"))
+    runs = F.lit(None).cast("array<struct<leave:int,reach:int>>")
+    return steps.select("feed", "src", "dst", runs.alias("runs"), F.lit(minutes).cast("int").alias("walk"))
+
+
+def earliest(at: str, cap: int) -> Column:
+    """Arrival over an edge of who is at its start ``at`` minutes after the
+    departure; null after ``cap``, or where no run leaves then or later."""
+    ride = F.array_min(F.transform(F.filter("runs", lambda r: r.leave >= F.col(at)), lambda r: r.reach))
+    walk = F.col(at) + F.col("walk")
+    return F.when(F.col("walk").isNull(), ride).when(walk <= cap, walk)
 
 
 def stop_cells(stops: DataFrame, ring: int = 1) -> DataFrame:
@@ -102,9 +109,9 @@ def timetable_matrix(
     spark = stop_times.sparkSession
     ensure_checkpoint_dir(spark)
     places = stop_cells(stops, ring).checkpoint()
-    edges = ride_edges(hops(stop_times, stops), depart, cap).unionByName(walk_edges(places, walk_minutes, cap))
+    edges = ride_edges(hops(stop_times, stops), depart, cap).unionByName(walk_edges(places, walk_minutes))
     salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    edges = edges.select("feed", F.col("src").alias("cell"), "dst", "at", salted).checkpoint()
+    edges = edges.select("feed", F.col("src").alias("cell"), "dst", "runs", "walk", salted).checkpoint()
     key: Sequence[str] = ["feed", "origin", "cell"]
     log = scratch_path(spark, "timetable")
     places.select("feed", F.col("cell").alias("origin"), "cell", F.lit(0).alias("minutes")).write.parquet(f"{log}/round=0")
@@ -114,7 +121,7 @@ def timetable_matrix(
     while True:
         front = read(last).withColumn("salt", F.pmod(F.xxhash64("origin"), F.lit(salts)).cast("int"))
         reached = front.join(edges, ["feed", "cell", "salt"]).select(
-            "feed", "origin", F.col("dst").alias("cell"), F.element_at("at", F.col("minutes") + 1).alias("new")
+            "feed", "origin", F.col("dst").alias("cell"), earliest("minutes", cap).alias("new")
         ).filter(F.col("new").isNotNull())
         known = read(*range(last + 1)).select(*key, F.col("minutes").alias("old"), F.lit(None).cast("int").alias("new"))
         both = known.unionByName(reached.select(*key, F.lit(None).cast("int").alias("old"), "new"))
