@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geomart.functions import cells, rings
 from geomart.operators.quality import LAT_RANGE, LON_RANGE
+from geomart.session import ensure_checkpoint_dir
 
 
 def kring_expand(df: DataFrame, cell_col: str, k: int = 1, out: str = "cell") -> DataFrame:
@@ -187,16 +188,25 @@ def self_contacts(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     equi-join on (ring, cell), so a long ring is many small groups. Points that
     repeat the one before are no edges.
     """
-    points = F.filter(F.col("_r"), lambda p, i: (i == 0) | ~((p.x == F.element_at(F.col("_r"), F.greatest(i, F.lit(1))).x) & (p.y == F.element_at(F.col("_r"), F.greatest(i, F.lit(1))).y)))
-    staged = df.select(F.col(id_col), F.transform(rings.unwrap(ring_col), lambda p: F.struct(_exact(p.x).alias("x"), _exact(p.y).alias("y"))).alias("_r"))
-    staged = staged.select(id_col, points.alias("_r")).withColumn("_n", F.size("_r") - 1).filter("_n >= 2")
-    xs, ys = F.transform("_r", lambda p: p.x), F.transform("_r", lambda p: p.y)
-    box = F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
-    side = F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("int")
-    edges = staged.withColumn("_box", box).withColumn("_side", side).select(
-        id_col, "_n", "_box", "_side",
-        F.posexplode(F.arrays_zip(F.slice("_r", 1, F.col("_n")).alias("a"), F.slice("_r", 2, F.col("_n")).alias("b"))).alias("_i", "e"),
-    ).select(id_col, "_n", "_side", "_i", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), "_box")
+    def edges_of(r):
+        """Edges of points of which none repeats the one before, with the ring's
+        box; none for less than two edges. Every value is bound once."""
+        xs, ys = F.transform(r, lambda p: p.x), F.transform(r, lambda p: p.y)
+        n = F.size(r) - 1
+        box = F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+        ends = F.arrays_zip(F.slice(r, 1, n).alias("a"), F.slice(r, 2, n).alias("b"))
+        each = lambda o: F.transform(ends, lambda e, i: F.struct(i.alias("i"), e.a.alias("a"), e.b.alias("b"), o.n.alias("n"), o.box.alias("box")))
+        return F.when(n >= 2, rings.let(F.struct(n.alias("n"), box.alias("box")), each))
+
+    def distinct_points(r):
+        return F.filter(r, lambda p, i: (i == 0) | ~((p.x == F.element_at(r, F.greatest(i, F.lit(1))).x) & (p.y == F.element_at(r, F.greatest(i, F.lit(1))).y)))
+
+    exact = F.transform(rings.unwrap(ring_col), lambda p: F.struct(_exact(p.x).alias("x"), _exact(p.y).alias("y")))
+    staged = df.select(id_col, F.explode(rings.let(rings.let(exact, distinct_points), edges_of)).alias("e"))
+    edges = staged.select(
+        id_col, F.col("e.n").alias("_n"), F.ceil(F.sqrt(F.col("e.n").cast("double"))).cast("int").alias("_side"), F.col("e.i").alias("_i"),
+        F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), F.col("e.box").alias("_box"),
+    )
 
     def cell(v, low, high):
         at = F.floor((v - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1e-9)) * F.col("_side")).cast("int")
@@ -218,8 +228,10 @@ def self_contacts(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     left = F.when(level, F.least(ax, bx)).otherwise(F.least(at(y0), at(y1))) - hair
     right = F.when(level, F.greatest(ax, bx)).otherwise(F.greatest(at(y0), at(y1))) + hair
     low_x, high_x = b.x.cast("double"), b.x1.cast("double")
-    met = rows.withColumn("_gx", F.explode(F.sequence(cell(left, low_x, high_x), cell(right, low_x, high_x)))).drop("_box", "_side")
-    one, two = met.alias("s"), met.alias("t")
+    # Both sides of the join read it; the planner takes it for as small as the table.
+    ensure_checkpoint_dir(df.sparkSession)
+    met = rows.withColumn("_gx", F.explode(F.sequence(cell(left, low_x, high_x), cell(right, low_x, high_x)))).drop("_box", "_side").checkpoint()
+    one, two = met.alias("s"), met.hint("merge").alias("t")
     pairs = one.join(two, (F.col(f"s.{id_col}") == F.col(f"t.{id_col}")) & (F.col("s._gx") == F.col("t._gx")) & (F.col("s._gy") == F.col("t._gy")) & (F.col("s._i") < F.col("t._i")))
     a, c = [F.col("s.ax"), F.col("s.ay")], [F.col("t.ax"), F.col("t.ay")]
     e, d = [F.col("s.bx"), F.col("s.by")], [F.col("t.bx"), F.col("t.by")]
@@ -242,7 +254,10 @@ def ring_validity(df: DataFrame, ring_col: str, id_col: str) -> DataFrame:
     """``(id, is_closed, n_contacts, is_valid)`` of each ring: valid is a closed
     ring of at least 4 points with an area, whose edges meet only where they
     follow one another (X5). Ids are distinct; a null ring is not valid."""
-    contacts = self_contacts(df.filter(rings.is_valid(ring_col)), ring_col, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_contacts"))
-    shape = df.select(F.col(id_col), F.coalesce(rings.is_closed(ring_col), F.lit(False)).alias("is_closed"), rings.is_valid(ring_col).alias("_shape"))
-    joined = shape.join(contacts, id_col, "left").withColumn("n_contacts", F.coalesce("n_contacts", F.lit(0)))
+    ensure_checkpoint_dir(df.sparkSession)
+    # Rings may be parsed from texts: once, and not again for either use.
+    df = df.select(F.col(id_col), F.col(ring_col), rings.is_valid(ring_col).alias("_shape")).checkpoint()
+    contacts = self_contacts(df.filter("_shape"), ring_col, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_contacts"))
+    shape = df.select(F.col(id_col), F.coalesce(rings.is_closed(ring_col), F.lit(False)).alias("is_closed"), "_shape")
+    joined = shape.join(contacts.hint("merge"), id_col, "left").withColumn("n_contacts", F.coalesce("n_contacts", F.lit(0)))
     return joined.select(id_col, "is_closed", "n_contacts", (F.col("_shape") & (F.col("n_contacts") == 0)).alias("is_valid"))

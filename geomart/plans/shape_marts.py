@@ -16,7 +16,7 @@ from geomart.plans import views as V
 from geomart.plans.registry import register
 from geomart.session import scratch_path
 from geomart.sources import sinks
-from geomart.sources.tables import read_table
+from geomart.sources.tables import dealt, read_table
 
 # Houses whose left side is at 179.50 to 180.49 degrees.
 _EAST = "17950 + (c_custkey * 37) % 100"
@@ -83,7 +83,7 @@ OUTLINES = [
 def ring_validity(spark, sf):
     """Validity with self-intersection: houses, bow-ties, touching, nested and
     backward rings, and a text that is no polygon (X5)."""
-    c = read_table(spark, sf, "customer", "c_custkey")
+    c = dealt(read_table(spark, sf, "customer", "c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     shape = F.lit('{"type":"Point","coordinates":[1,2]}')
     for i, (outline, _) in enumerate(OUTLINES):
@@ -169,7 +169,7 @@ SELECT CASE WHEN c_custkey % 2 = 0 THEN 'way/' ELSE 'node/' END || c_custkey AS
 def amenity_sink(spark, sf):
     """Features of any geometry type -> category, centroid, cell and area, in a
     sink partitioned by category, read back (A15, J12, X12, S12)."""
-    c = read_table(spark, sf, "customer", "c_custkey")
+    c = dealt(read_table(spark, sf, "customer", "c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     tag = {t: F.lit(None).cast("string") for t in _TAG_SQL}
     for i, (t, v) in enumerate(TAGS):

@@ -16,6 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all partitions of the session, by ``keys``: a small file is a
+    single scan task, too few where every row is a lot of work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_parquet_sql(spark: SparkSession, path: str) -> DataFrame:
     """Direct path scan in SQL, as ``SELECT * FROM parquet.`path```."""
     return spark.sql(f"SELECT * FROM parquet.`{path}`")

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geomart.operators import names
+from geomart.operators import bridge, names, spatial, timetable
 
 
 def _plan(df):
@@ -27,3 +27,52 @@ def test_postings_are_not_broadcast(spark, tmp_path):
     want = {(q, i) for q in ("ring", "Ring bolt", "Ä", "zzz") for i, n, _ in parts if n and q.lower() in n.lower()}
     rows = [(r.query, r.id) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+# ---- timetables ----------------------------------------------------------------------------
+
+
+def test_ride_edges_keep_the_runs_that_none_beats(spark):
+    rng = random.Random(3)
+    legs = [("e", 1, rng.randint(490, 560), 2, 0) for _ in range(60)]
+    legs = [(f, a, d, b, d + rng.randint(1, 40)) for f, a, d, b, _ in legs]
+    df = spark.createDataFrame(legs, "feed string, src long, departure int, dst long, arrival int")
+    edge = timetable.ride_edges(df, 500, 90)
+    (row,) = edge.collect()
+    runs = [(r.leave, r.reach) for r in row.runs]
+    assert len(runs) < 60 and not any(o[0] > r[0] and o[1] <= r[1] for r in runs for o in runs)
+    at = edge.crossJoin(spark.range(91).withColumn("m", F.col("id").cast("int"))).select("m", timetable.earliest("m", 90).alias("new")).collect()
+    want = {m: min((r - 500 for _, _, d, _, r in legs if d - 500 >= max(m, 0) and r - 500 <= 90), default=None) for m in range(91)}
+    assert {r.m: r.new for r in at} == want
+
+
+# ---- marts and rings -----------------------------------------------------------------------
+
+
+def test_units_meet_their_areas_once(spark):
+    """A (unit, area) pair is one row until the area's rows are together."""
+    totals = spark.createDataFrame([(u, y, 10.0 * u + y) for u in (1, 2) for y in range(7)] + [(1, None, 5.0), (2, 3, 1.0), (3, 1, None)], "u int, y int, t double")
+    shares = spark.createDataFrame([(1, "a", 0.25), (1, "b", 0.75), (2, "a", 1.0), (3, "b", 0.5), (9, "c", 1.0)], "u int, a string, s double")
+    df = bridge.allocate(totals, shares, "u", "a", "y", "t", "s", places=2)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression") < plan.index("Join")
+    got = {(r.a, r.y): r.allocated for r in df.collect()}
+    want = {}
+    for u, y, t in totals.collect():
+        for v, a, s in shares.collect():
+            if u == v and t is not None:
+                want[a, y] = want.get((a, y), 0) + t * s
+    assert got == {k: int(v + 0.5) for k, v in want.items() if int(v + 0.5) > 0}
+
+
+def test_a_ring_is_parsed_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<x:double,y:double>>")
+    def ring(i):
+        parsed.add(1)
+        return [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+
+    df = spark.range(40).withColumn("ring", ring("id"))
+    assert all(r.is_valid for r in spatial.ring_validity(df, "ring", "id").collect())
+    assert parsed.value == 40
