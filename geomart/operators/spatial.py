@@ -146,7 +146,8 @@ def facts_to_areas(facts: DataFrame, bridge: DataFrame, cell: str = "cell", salt
     or the whole row; the bridge has one row per cell and is copied to each."""
     by = F.xxhash64(salt_on) if salt_on else F.xxhash64(*[F.col(c) for c in facts.columns])
     shared = bridge.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return facts.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(shared, [cell, "_salt"], "left").drop("_salt")
+    # The copies are no part of the size that the planner sees: never broadcast.
+    return facts.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(shared.hint("merge"), [cell, "_salt"], "left").drop("_salt")
 
 
 def hazard_polygon_cells(df: DataFrame, ring_col: str, id_col: str, keys: list[str], mode: str = "centroid") -> DataFrame:

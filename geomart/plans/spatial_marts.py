@@ -12,7 +12,7 @@ from geomart.functions import cells, rings
 from geomart.operators import spatial
 from geomart.plans import views as V
 from geomart.plans.registry import register
-from geomart.sources.tables import read_table, stored_by_key
+from geomart.sources.tables import dealt, read_table, stored_by_key
 
 # House outline in hundredths of a degree, counter-clockwise, closed.
 HOUSE = [(0, 0), (2, 0), (2, 2), (1, 3), (0, 2), (0, 0)]
@@ -30,7 +30,7 @@ def _geojson(xh, yh, pts):
 
 def poly_text(spark, sf):
     """One GeoJSON house per customer (``area_id, segment, geojson``)."""
-    c = read_table(spark, sf, "customer", "c_custkey", "c_mktsegment")
+    c = dealt(read_table(spark, sf, "customer", "c_custkey", "c_mktsegment"), "c_custkey")
     k = F.col("c_custkey")
     return c.select(
         k.alias("area_id"),

@@ -18,8 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all partitions of the session, by ``keys``: a small file is a
-    single scan task, too few where every row is a lot of work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    single scan task, too few where every row is a lot of work. The rows are
+    written once, else a later filter moves below the exchange with all that
+    its value takes."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint()
 
 
 def read_parquet_sql(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from geomart.operators import bridge, names, spatial, timetable
+from geomart.sources import tables
 
 
 def _plan(df):
@@ -76,3 +77,18 @@ def test_a_ring_is_parsed_once(spark):
     df = spark.range(40).withColumn("ring", ring("id"))
     assert all(r.is_valid for r in spatial.ring_validity(df, "ring", "id").collect())
     assert parsed.value == 40
+
+
+def test_copies_of_the_bridge_are_not_broadcast(spark):
+    facts = spark.createDataFrame([(i % 7, i) for i in range(50)] + [(None, 99)], "cell long, k long")
+    cells_of = spark.createDataFrame([(c, 10 * c) for c in range(5)], "cell long, area_id long")
+    df = spatial.facts_to_areas(facts, cells_of, salt_on="k")
+    assert "Broadcast" not in _plan(df)
+    assert sorted((r.k, r.area_id) for r in df.collect() if r.area_id is not None) == [(i, 10 * (i % 7)) for i in range(50) if i % 7 < 5]
+    assert df.count() == 51
+
+
+def test_dealt_rows_stay_dealt_below_a_filter(spark):
+    df = tables.dealt(spark.range(1000, numPartitions=1), "id").withColumn("v", F.sqrt("id")).filter("v > 3")
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "Exchange" not in _plan(df) and df.count() == 990
