@@ -41,9 +41,11 @@ def _feed(key):
     return F.when(key % 2 == 0, "east").otherwise("west")
 
 
-def stop_times(spark, sf):
+def stop_times(spark, sf, trips):
+    """Calls of the ``trips`` (``feed, trip_id``)."""
     li = read_table(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber")
     k = F.col("l_orderkey")
+    li = li.join(trips, (k == trips.trip_id) & (_feed(k) == trips.feed), "left_semi")
     arrival = 360 + (k * 37) % 360 + (F.col("l_linenumber") - 1) * (4 + k % 9)
     return li.select(
         _feed(k).alias("feed"), k.alias("trip_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("seq"), F.col("l_suppkey").alias("stop_id"),
@@ -57,9 +59,8 @@ def running(spark, sf):
     return timetable.active_trips(trips, A.service_day_expand(spark, sf), F.lit(SERVICE_DATE).cast("date"))
 
 
-def matrix(spark, sf):
-    calls = stop_times(spark, sf).join(running(spark, sf), ["feed", "trip_id"], "left_semi")
-    return timetable.timetable_matrix(calls, stops(spark, sf), DEPART, CAP, walk_minutes=WALK)
+def matrix(spark, sf, of=timetable.timetable_matrix):
+    return of(stop_times(spark, sf, running(spark, sf)), stops(spark, sf), DEPART, CAP, walk_minutes=WALK)
 
 
 _STOP_POINT = "CAST(16600 + (k * 37) % 1300 AS DOUBLE) / 100 AS lon, CAST(-4700 + (k * 53 + k // 1300) % 1300 AS DOUBLE) / 100 AS lat"

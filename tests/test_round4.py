@@ -1,10 +1,14 @@
 """Joins that must not broadcast rows the planner cannot count, timetables over
 shared reach, rings by pairs, marts at size."""
 
+import itertools
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from geomart.functions import cells
 from geomart.operators import bridge, names, spatial, timetable
 from geomart.sources import tables
 
@@ -47,6 +51,85 @@ def test_ride_edges_keep_the_runs_that_none_beats(spark):
     assert {r.m: r.new for r in at} == want
 
 
+def _jobs(spark, run):
+    """How many jobs ``run`` takes."""
+    group = f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def _line(spark, n):
+    """A trip over ``n`` stops far from each other, a minute each."""
+    at = spark.range(n).select(F.lit("e").alias("feed"), F.col("id").alias("stop_id"), cells.hex_cell(F.lit(170.0) + F.col("id") / 10, F.lit(-40.0)).alias("cell"))
+    minute = (F.col("id") + 500).cast("int")
+    calls = spark.range(n).select(F.lit("e").alias("feed"), F.lit(1).alias("trip_id"), F.col("id").alias("seq"), F.col("id").alias("stop_id"), minute.alias("arrival"), minute.alias("departure"))
+    return calls, at
+
+
+def test_matrix_takes_no_job_per_leg(spark):
+    def minutes(n):
+        calls, at = _line(spark, n)
+        first, last = (r.cell for r in at.filter(F.col("stop_id").isin(0, n - 1)).orderBy("stop_id").collect())
+        got = timetable.timetable_matrix(calls, at, 500, bucket=1).filter((F.col("origin") == first) & (F.col("destination") == last))
+        return [r.travel_minutes for r in got.collect()]
+
+    took = [_jobs(spark, lambda n=n: seen.append(minutes(n))) for seen in [[]] for n in (4, 24)]
+    assert took[1] < took[0] + 20
+    assert minutes(4) == [3] and minutes(24) == [23]
+
+
+def test_places_without_feed_or_cell_meet_only_themselves(spark):
+    at = spark.createDataFrame([("e", 1, 5 << 28), ("e", 2, None), (None, 3, 9 << 28), ("w", 4, None)], "feed string, stop_id long, cell long")
+    calls = spark.createDataFrame([], "feed string, trip_id long, seq long, stop_id long, arrival int, departure int")
+    rows = [tuple(r) for r in timetable.timetable_matrix(calls, at, 500, walk_minutes=50).collect()]
+    assert len(rows) == len(set(rows))
+    assert {r for r in rows if None in r} == {("e", None, None, 0), ("w", None, None, 0)} | {(None, c, c, 0) for f, c, _, _ in rows if f is None}
+    east = [r for r in rows if r[0] == "e" and r[1] is not None]
+    assert sorted({m for _, _, _, m in east}) == [0, 50] and len(east) == 7 + 6 + 6 * 3 and len([r for r in rows if r[0] is None]) == 7
+
+
+def test_searches_of_some_origins_at_a_time(monkeypatch):
+    """Rides that take no time, in circles too, walks, shares, few labels at a time."""
+    rng = random.Random(5)
+    cells_of, cap = np.array(sorted(rng.sample(range(1000), 30))), 20
+    rides = [(s, d, a, a + rng.choice([0, 0, 1, 4])) for s, d, a in ((rng.choice(cells_of), rng.choice(cells_of), rng.randint(0, 16)) for _ in range(120)) if s != d]
+    walks = [(a, b, -1, rng.choice([3, 7, 25])) for a, b in itertools.pairwise(cells_of)]
+    body = lambda x, kind: zlib.compress(np.array(x, kind).tobytes())
+
+    def graph():
+        feed = timetable._Feed(cap)
+        for part in (cells_of[20:], cells_of[:20]):
+            feed.add(body(np.diff(part, prepend=0), "i8"), None, None, None)
+        for part in (rides[:50], rides[50:], walks):
+            src, dst, leave, arrive = zip(*sorted(part), strict=True)
+            feed.add(body(np.diff(src, prepend=0), "i8"), body(np.array(dst) - src, "i8"), body(leave, "i4"), body(arrive, "i4"))
+        return feed
+
+    want = {}
+    for origin in cells_of:
+        best = {origin: 0}
+        for _ in range(40):
+            for s, d, leave, arrive in rides + walks:
+                if s in best and (leave < 0 or leave >= best[s]):
+                    best[d] = min(best.get(d, cap + 1), best[s] + arrive if leave < 0 else arrive)
+                    if best[d] > cap:
+                        del best[d]
+        want |= {(origin, d): t for d, t in best.items()}
+    for labels, origins, of in ((1 << 25, 512, 1), (100, 512, 3), (1 << 25, 4, 2), (1, 1, 1)):
+        monkeypatch.setattr(timetable, "LABELS", labels)
+        monkeypatch.setattr(timetable, "ORIGINS", origins)
+        got = []
+        for share in range(of):
+            for starts, counts, reached, minutes in graph().search(share, of):
+                got += zip(np.repeat(starts, counts).tolist(), reached.tolist(), minutes.tolist(), strict=True)
+        assert [x[:2] for x in got] == sorted(x[:2] for x in got)
+        assert {x[:2]: x[2] for x in got} == want and len(got) == len(want)
+
+
 # ---- marts and rings -----------------------------------------------------------------------
 
 
