@@ -138,13 +138,21 @@ def with_matrix_metadata(
     )
 
 
-def write_matrix(matrix: DataFrame, path: str) -> None:
+def write_matrix(matrix: DataFrame, path: str, folded: bool = False) -> None:
     """Store the matrix partitioned by (mode, feed_source) and sorted by
     origin inside the files: lookups by mode prune folders, lookups by
-    origin skip row groups through min/max statistics."""
+    origin skip row groups through min/max statistics.
+
+    A ``folded`` matrix, with a row per origin as ``timetable.folded_matrix`` has
+    them, comes in ranges of origins; the same rows are stored, but only origins
+    are sorted, and nothing is exchanged."""
+    from geomart.operators.timetable import unfolded
     from geomart.sources.sinks import write_partitioned
 
-    write_partitioned(matrix, path, ["mode", "feed_source"], sort_within=["origin", "destination"])
+    if folded:
+        write_partitioned(matrix, path, ["mode", "feed_source"], sort_within=["origin"], unfold=unfolded)
+    else:
+        write_partitioned(matrix, path, ["mode", "feed_source"], sort_within=["origin", "destination"])
 
 
 def matrix_lookup(matrix: DataFrame, mode: str, version: str | None = None) -> DataFrame:

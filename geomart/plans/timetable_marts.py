@@ -106,10 +106,13 @@ def stored_matrix_path(spark, sf):
     if at not in _paths:
         path = scratch_path(spark, "matrix")
         rows = lambda m, mode, version: reach.with_matrix_metadata(m, mode, F.col("feed"), version, "08:30", SERVICE_DATE).drop("feed")
-        reach.write_matrix(rows(matrix(spark, sf), MODE, VERSION), path)
-        base = spark.read.parquet(path).select(F.col("feed_source").alias("feed"), "origin", "destination", "travel_minutes")
-        older = rows(base.withColumn("travel_minutes", F.col("travel_minutes") - 5), MODE, "v1")
-        reach.write_matrix(older.unionByName(rows(base.withColumn("travel_minutes", F.lit(5).cast("bigint")), "car", VERSION)), path + "-other")
+        minutes = F.col("travel_minutes")
+        matrix(spark, sf, timetable.folded_matrix).write.option("compression", "zstd").parquet(path + "-folded")
+        base = spark.read.parquet(path + "-folded")
+        reach.write_matrix(rows(base, MODE, VERSION), path, folded=True)
+        older = rows(base.withColumn("travel_minutes", F.transform(minutes, lambda m: m - 5)), MODE, "v1")
+        car = rows(base.withColumn("travel_minutes", F.array_repeat(F.lit(5), F.size(minutes))), "car", VERSION)
+        reach.write_matrix(older.unionByName(car), path + "-other", folded=True)
         _paths[at] = path
     return _paths[at]
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geomart.functions import cells
-from geomart.operators import bridge, names, spatial, timetable
+from geomart.operators import bridge, names, reach, spatial, timetable
 from geomart.sources import tables
 
 
@@ -130,6 +130,25 @@ def test_searches_of_some_origins_at_a_time(monkeypatch):
         assert {x[:2]: x[2] for x in got} == want and len(got) == len(want)
 
 
+def test_folded_matrix_is_stored_like_its_rows(spark, tmp_path):
+    """Seven feeds and two modes in one task; the files of each folder are in order."""
+    rng = random.Random(7)
+    origins = [(f"f{i % 7}", i, sorted(rng.sample(range(99), rng.randint(1, 9)))) for i in range(60)] + [("f0", None, [None])]
+    rows = [(f, o, d, [rng.randint(0, 18) * 5 for _ in d]) for f, o, d in origins]
+    folded = spark.createDataFrame(rows, "feed string, origin long, destination array<long>, travel_minutes array<int>")
+    both = {}
+    for name, m in (("folded", folded), ("rows", timetable.unfolded(folded))):
+        parts = [reach.with_matrix_metadata(m, mode, F.col("feed"), "v2", service_date="2024-01-17").drop("feed") for mode in ("transit", "car")]
+        path = str(tmp_path / name)
+        reach.write_matrix(parts[0].unionByName(parts[1]).coalesce(1), path, **({"folded": True} if name == "folded" else {}))
+        stored = spark.read.parquet(path).withColumn("file", F.input_file_name())
+        both[name] = stored.schema.fieldNames(), sorted(map(str, stored.drop("file").collect()))
+        by_file = stored.filter(F.col("origin").isNotNull()).groupBy("file").agg(F.collect_list(F.struct("origin", "destination")).alias("at"))
+        assert all(r["at"] == sorted(r["at"]) for r in by_file.collect())
+    assert both["folded"] == both["rows"] and len(both["rows"][1]) == 2 * sum(len(d) for _, _, d, _ in rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0" and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 # ---- marts and rings -----------------------------------------------------------------------
 
 
