@@ -149,6 +149,33 @@ def test_folded_matrix_is_stored_like_its_rows(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0" and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
 
 
+def test_shortlist_over_long_trips_takes_no_job_per_leg(spark, tmp_path):
+    """Trips of 20 calls of 4 minutes each, by the registered query and its SQL."""
+    import duckdb
+
+    from geomart.plans import ORACLE, QUERIES
+
+    rng = random.Random(11)
+    tables_of = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(i, f"N{i}", 0) for i in range(3)]),
+        "supplier": ("s_suppkey long", [(i,) for i in range(400, 440)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(i, f"C{i}", i % 3, 1.0, "AUTO") for i in range(400, 600)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string", [(9 * i, 400 + rng.randrange(200), "F") for i in range(400)]),
+        "lineitem": ("l_orderkey long, l_suppkey long, l_linenumber int", [(9 * i, 400 + (i + 3 * j) % 40, j) for i in range(400) for j in range(1, 21)]),
+        "events": ("user_id long, event_type string, value double, props string", [(400 + rng.randrange(80), rng.choice(["error", "view"]), 5.0, "{}") for _ in range(30)]),
+    }
+    con = duckdb.connect()
+    for name, (schema, rows) in tables_of.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = []
+    jobs = _jobs(spark, lambda: got.extend(QUERIES["shortlist_by_timetable"](spark, str(tmp_path)).collect()))
+    want = con.execute(ORACLE["shortlist_by_timetable"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3
+    assert jobs < 120
+
+
 # ---- marts and rings -----------------------------------------------------------------------
 
 
