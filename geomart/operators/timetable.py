@@ -10,9 +10,9 @@ edge the runs that no other run beats, leaving later and arriving no later, are
 one array of at most ``cap + 1`` entries, mostly one or two; a walk has its
 minutes instead. So trips that overtake each other are no special case.
 
-A search has all places and edges of its feed at hand, 8 bytes a place and 16 a
-run or walk, so a feed must fit in the memory of a task; its origins are dealt
-over all tasks. The labels, by far the most, are kept for some origins at a time
+A search has all places and edges of its feed at hand, some ten bytes a place and
+thirty a run or walk, so a feed must fit in the memory of a task; its origins are
+dealt over all tasks. The labels, by far the most, are kept for some origins at a time
 (``LABELS``) and go out as two arrays per origin.
 """
 
